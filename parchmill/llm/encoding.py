@@ -44,9 +44,10 @@ _OUTSIDE = re.compile(r"[^\x00-\x7f]")
 
 #: What a text must hold to be looked at (also in Java's syntax): a character that isn't at home, a capital with an accent within or
 #: instead of a word, or a sign inside a word. Everything else is as good as any decoding of it.
+#: It begins with the character itself, so that plain text is passed over at one test a character.
 SUSPECT = (
-    rf"[^\x00-\x7f{LOWER}{UPPER}{SIGNS}]|[a-z{LOWER}][{UPPER}]|(?<![^\s])[{UPPER[1:]}](?![^\s])|[a-z{LOWER}][“”„–—…‘¡¿ºª²³°§·•«»€][a-z{LOWER}]"
-    rf"|(?<![^\s])[ßæœ](?![^\s])|[{UPPER}][«»¡¿°§²³·•ºª€“”„‘–—… ]|(?<![^\s])[“”„–—…‘¡¿§·•«»] (?=[a-z])"
+    rf"(?=[^\x00-\x7f])(?:[^{LOWER}{UPPER}{SIGNS}]|(?<=[a-z{LOWER}])[{UPPER}]|(?<![^\s])[{UPPER[1:]}ßæœ](?![^\s])|(?<=[a-z{LOWER}])[“”„–—…‘¡¿ºª²³°§·•«»€](?=[a-z{LOWER}])"
+    rf"|(?<=[{UPPER}])[«»¡¿°§²³·•ºª€“”„‘–—…]|(?<![^\s])[“”„–—…‘¡¿§·•«»](?= [a-z]))"
 )
 _SUSPECT = re.compile(SUSPECT)
 #: Replacement characters and controls that no text has on purpose.
