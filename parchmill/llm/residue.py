@@ -87,20 +87,12 @@ class Pairs:
         # Pointwise information of a pair: how much more often its letters meet than by chance.
         total = p.sum()
         self.info = np.log(p * total / (p.sum(1, keepdims=True) * p.sum(0, keepdims=True)))
-        self.flat = self.info.ravel()
 
     def usual(self, words: list[str]) -> float:
         codes = np.frombuffer((" " + " ".join(words) + " ").encode(), dtype=np.uint8).astype(int)
         codes = np.where(codes == 32, 0, codes - 96)
         return float(self.info[codes[:-1], codes[1:]].mean())
 
-    def usual_text(self, text: str) -> float:
-        """The same for any text, roughly; pairs without a letter don't count."""
-        codes = _CODES[np.frombuffer(text.encode("ascii", "replace"), dtype=np.uint8)]
-        at = codes[:-1] * 27 + codes[1:]
-        at = at[at > 0]
-        return float(self.flat[at].mean()) if len(at) else 9.0
-
 
 def letter_pairs(text: str) -> np.ndarray:
     """729 counts of letter pairs, words edged by blanks."""
@@ -130,12 +122,12 @@ def forms(passage: str) -> set[str]:
 
 def repeated(words: list[str]) -> bool:
     """One word, or very few, over and over."""
-    return len(words) >= 4 and len(set(words)) * 4 <= len(words) and sum(map(str.isalpha, words)) * 2 > len(words)
+    return len(words) > 3 and len(set(words)) * 4 <= len(words) and sum(map(str.isalpha, words)) * 2 > len(words)
 
 
 def mashed(passage: str, words: list[str], pairs: Pairs) -> bool:
     """Nothing but lower-case words made of letters that don't go together."""
-    if len(words) < 3 or pairs.usual_text(passage) >= MASH + 0.5:
+    if len(words) < 3:
         return False
     low = _LOWER.findall(passage)
     return len(low) >= 3 and len(low) >= 0.8 * len(words) and pairs.usual(low) < MASH
@@ -184,35 +176,34 @@ def judge(text: str, index: Index, pairs: Pairs) -> tuple[str, float] | None:
     raw = "<" in text and bool(_HTML.search(text))
     plain = _TAG.sub("\n", text) if "<" in text else text
     marked = bool(_MARKED.search(plain))
-    total, covered, kinds = 0, 0, Counter()
     passages = _BREAKS.split(plain)
-    seen: dict[int, tuple[set[str], set[str]]] = {}
+    seen: dict[int, tuple[list[str], set[str], set[str]]] = {}
 
-    def look(k: int) -> tuple[set[str], set[str]]:
-        """Terms and labels of passage k."""
+    def look(k: int) -> tuple[list[str], set[str], set[str]]:
+        """Words, terms and labels of passage k."""
         if k not in seen:
             words = _TERM.findall(folded(passages[k]))
-            found = {t for t in words if t in VOCABULARY}
+            found = VOCABULARY.intersection(words)
             if marked and _MARKED.search(passages[k]):
                 found |= forms(passages[k])
             if repeated(words):
-                found.add("§rep")
+                found |= {"§rep"}
             elif mashed(passages[k], words, pairs):
-                found.add("§mash")
+                found |= {"§mash"}
             hit = found and not index.postings.keys().isdisjoint(found)
-            seen[k] = found, index.labels(found) if hit else set()
-            sizes[k] = sum(not w.isdigit() for w in words)
+            seen[k] = words, found, index.labels(found) if hit else set()
         return seen[k]
 
-    sizes: dict[int, int] = {}
+    if not any([look(k)[2] for k in range(len(passages))]):
+        return None
+    total, covered, kinds = 0, 0, Counter()
     for k, passage in enumerate(passages):
-        found, labels = look(k)
-        if not sizes[k] and not (marked and passage.strip()):
+        words, found, labels = look(k)
+        size = sum(not w.isdigit() for w in words)
+        if not size and not (marked and passage.strip()):
             continue
-        size = max(sizes[k], 1)
+        size = max(size, 1)
         total += size
-        if not labels:
-            continue
         if not labels.isdisjoint(("placeholder", "todo", "filler")) and _explained(k, passages, look, index):
             labels = {"explanation"}
         for label in labels:
@@ -230,11 +221,11 @@ def judge(text: str, index: Index, pairs: Pairs) -> tuple[str, float] | None:
 
 def _explained(k: int, passages: list[str], look, index: Index) -> bool:
     """An explanation cut by a line end: the window of passage k and its neighbours holds it, though none of them does alone."""
-    own = look(k)[0]
+    own = look(k)[1]
     window = set(own)
     for j in (k - 1, k + 1):
         if 0 <= j < len(passages):
-            terms, labels = look(j)
+            _, terms, labels = look(j)
             if not labels:
                 window |= terms
     return window != own and index.labels(window) == {"explanation"}
