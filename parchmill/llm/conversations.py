@@ -127,7 +127,8 @@ def root_to_leaf_paths(nodes: DataFrame, resolved: DataFrame, jumps: list[DataFr
     paths = ok.join(parents, "id", "left_anti").select("root", F.col("id").alias("leaf"), "id", F.col("depth").alias("position"))
     for k, jump in enumerate(jumps):
         up = paths.filter(F.col("position") > 2**k).join(jump, "id")
-        paths = paths.unionByName(up.select("root", "leaf", F.col("ptr").alias("id"), (F.col("position") - 2**k).alias("position")))
+        # Written each round: the plan would double with every round else.
+        paths = cut_lineage(paths.unionByName(up.select("root", "leaf", F.col("ptr").alias("id"), (F.col("position") - 2**k).alias("position"))))
     return paths
 
 
