@@ -27,7 +27,7 @@ from .pair_exemplars import COURTESY, REFUSALS
 from .words import WORD, folded_words, has_word
 
 #: Clauses of an answer that count as its opening.
-OPENING_CLAUSES = 6
+OPENING_CLAUSES = 4
 #: Words of a clause that says something.
 CLAUSE_WORDS = 3
 SIMILARITY = 0.8
