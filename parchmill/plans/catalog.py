@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import chats, chunks, pages, search
+
+_MODULES = (pages, chunks, chats, search)
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for module in _MODULES for name, sql in module.SQL.items()}
