@@ -16,8 +16,8 @@ from ..functions import text as tx
 BLOCK_QUERIES = 4_096
 #: Rows the index is fitted on at most, and its default shape.
 SAMPLE_ROWS = 20_000
-LISTS = 32
-PROBES = 12
+LISTS = 16
+PROBES = 13
 #: Rows of a list that one task takes on; longer lists are split.
 LIST_ROWS = 50_000
 #: Least similarity of each category of a duplicate.

@@ -144,14 +144,14 @@ _STALE = "c.conversation_id not in (select conversation_id from m) and created_a
 SQL = {
     "conversation_list": _B + "select c.conversation_id, user_id, count(m.message_id) as message_count, epoch_us(any_value(updated_at)) as updated_us from c left join m using (conversation_id) where not is_deleted group by 1, 2",
     "conversation_nested": _B + """, r as (select message_id, count(distinct retrieved_id) as k from retrieved_chunks group by 1)
-select conversation_id, count(*) as n, string_agg(message_id, ',' order by created_at nulls first, message_id) as message_ids, coalesce(sum(k), 0) as n_sources from m left join r using (message_id) group by 1""",
+select conversation_id, count(*) as n, string_agg(message_id, ',' order by created_at nulls first, message_id) as message_ids, coalesce(sum(k), 0)::bigint as n_sources from m left join r using (message_id) group by 1""",
     "first_user_message": _B + r"""select conversation_id, message_id, case when t = '' or t is null then 'Nouvelle Conversation' when length(t) > 60 then substring(t, 1, 57) || '...' else t end as title
  from (select *, trim(regexp_replace(trim(content, ' '), '^["''`]+|["''`]+$', '', 'g'), ' ') as t from m where lower(trim(role)) = 'user' and created_at is not null qualify row_number() over (partition by conversation_id order by created_at, message_id) = 1)""",
     "stale_or_empty_conversations": _B + f"select conversation_id, user_id from c where {_STALE}",
     "message_search": _B + "select message_id, conversation_id from m join c using (conversation_id) where (contains(lower(content), 'option') or contains(lower(title), 'option')) and (contains(lower(content), 'module') or contains(lower(title), 'module'))",
     "message_page": _B + "select message_id, epoch_us(m.created_at) as created_us from m where created_at is not null order by m.created_at desc, message_id limit 20 offset 20",
     "message_checks": _B + r"select case when role is null or role not in ('user', 'assistant', 'system') then 'role' when not coalesce(regexp_matches(content, '[^\s\p{Z}]'), false) then 'blank' when role = 'user' and length(content) > 2000 then 'too_long' else 'none' end as error, count(*) as n from m group by 1",
-    "role_map": _B + "select case when lower(trim(role)) = 'assistant' then 'model' else lower(trim(role)) end as role, count(*) as n, sum(length(content) // 4) as tokens from m group by 1",
+    "role_map": _B + "select case when lower(trim(role)) = 'assistant' then 'model' else lower(trim(role)) end as role, count(*) as n, sum(length(content) // 4)::bigint as tokens from m group by 1",
     "prompt_contexts": """with b as (select distinct message_id, rank, '[' || rank || '] ' || coalesce(titre, '') || ' (' || coalesce(source_file, '') || ')' || chr(10) || coalesce(texte, '') || chr(10) as b from retrieved_chunks where rank <= 20)
 select message_id, count(*) as n_sources, md5(string_agg(b, chr(10) order by rank, b)) as context_md5 from b group by 1""",
     "soft_delete_projection": _B + f"select conversation_id, is_deleted or ({_STALE}) as is_deleted, case when {_STALE} then 'stale_empty' end as deleted_reason, epoch_us(case when {_STALE} then timestamptz '2025-12-31 00:00:00+00' else updated_at end) as updated_us from c",
@@ -163,7 +163,7 @@ select message_id, count(*) as n_sources, md5(string_agg(b, chr(10) order by ran
     "feedback_checks": "select case when rating is not null and rating not between 1 and 5 then 'rating' when rating is null and coalesce(trim(sentiment), '') = '' and coalesce(trim(issue_type), '') = '' and coalesce(trim(comment), '') = '' then 'nothing' else 'none' end as error, count(*) as n from feedback group by 1",
     "feedback_rateable": _B + "select feedback_id, f.message_id from feedback f where exists (select 1 from m join c using (conversation_id) where m.message_id = f.message_id and c.user_id = f.user_id and lower(trim(m.role)) = 'assistant')",
     "rate_limit_windows": "select epoch_us(time_bucket(interval '1 hour', ts)) as window_us, user_id, count(*) as n from events group by 1, 2 having count(*) > 1",
-    "latency_by_window": "select epoch_us(time_bucket(interval '1 day', ts)) as window_us, event_type, count(*) as n, round(avg(value), 4) as mean, max(value) as worst from events group by 1, 2",
-    "payload_fields": "select event_type, count(props->>'$.k') as n, sum((props->>'$.k')::bigint) as sum_k, max((props->>'$.k')::bigint) as max_k from events group by 1",
+    "latency_by_window": "select epoch_us(time_bucket(interval '1 day', ts)) as window_us, event_type, count(*) as n, round(avg(value), 6) as mean, max(value) as worst from events group by 1, 2",
+    "payload_fields": "select event_type, count(props->>'$.k') as n, sum((props->>'$.k')::bigint)::bigint as sum_k, max((props->>'$.k')::bigint) as max_k from events group by 1",
     "user_activity": _B + "select user_id, count(distinct conversation_id) as conversations, count(*) as messages from m join c using (conversation_id) group by 1",
 }

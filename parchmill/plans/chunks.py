@@ -126,10 +126,10 @@ select chunk_id, i as total_images, len(t) as total_tables, k as total_code_bloc
     "strategy_acceptance": _C + f"select chunking_method, count(*) as total, count(*) filter ({_OK}) as accepted, round(count(*) filter ({_OK}) / count(*), 4) as acceptance_rate from c group by 1",
     "retry_histogram": _C + "select retry_depth, count(*) as n from c group by 1",
     "boundary_fraction": _C + "select round(avg(boundary_issue::int), 4) as fraction, count(*) as n from c",
-    "per_file_report": _C + "select relative_path, count(*) as n_chunks, sum(token_count) as total_tokens, round(avg(score), 6) as avg_score, min(score) as min_score, max(score) as max_score from c group by 1",
+    "per_file_report": _C + "select relative_path, count(*) as n_chunks, sum(token_count)::bigint as total_tokens, round(avg(score), 6) as avg_score, min(score) as min_score, max(score) as max_score from c group by 1",
     "global_chunk_report": _C + f"""select count(distinct relative_path) as files, count(*) as chunks, count(*) filter ({_OK}) as accepted, count(*) filter (chunking_status = 'original_untouched') as passthrough,
  count(*) filter (low_content) as low_content, round(avg(score), 6) as avg_score, min(score) as min_score, max(score) as max_score from c""",
-    "running_tokens_per_file": _C + "select relative_path, chunk_id, length(text) // 4 as tokens, sum(length(text) // 4) over (partition by relative_path order by chunk_id rows unbounded preceding) as file_tokens from c",
+    "running_tokens_per_file": _C + "select relative_path, chunk_id, length(text) // 4 as tokens, sum(length(text) // 4) over (partition by relative_path order by chunk_id rows unbounded preceding)::bigint as file_tokens from c",
     "chunk_ordinals": _C + "select chunk_id, row_number() over (order by folder_path, relative_path, chunk_id) as new_id, row_number() over (partition by folder_path, relative_path order by chunk_id) as chunk_no, count(*) over (partition by folder_path, relative_path) as total_chunks from c",
     "accepted_by_folder": _C + f"select folder_path, count(*) as n, min(chunk_id) as first_chunk, count(distinct relative_path) as files from c where {_OK} group by 1",
     "media_grouping_sets": _C + "select content_type, chunking_method, count(*) as n from c group by grouping sets ((content_type), (chunking_method), ())",

@@ -187,7 +187,7 @@ SQL = {
     "useless_reason_rows": _JUDGED + "select doc_id, reason from j where reason is not null",
     "exact_dedup_first_wins": _JUDGED + "select doc_id, disposition from j where disposition like 'kept%'",
     "duplicates_map": _JUDGED + "select original, doc_id as duplicate, row_number() over (partition by original order by doc_id) as ordinal from j where disposition = 'duplicate'",
-    "corpus_size_reduction": _JUDGED + f""", s as (select sum(strlen(text)) as bytes_before, sum(case when disposition like 'kept%' then strlen(text) else 0 end) as bytes_after from j)
+    "corpus_size_reduction": _JUDGED + f""", s as (select sum(strlen(text))::bigint as bytes_before, sum(case when disposition like 'kept%' then strlen(text) else 0 end)::bigint as bytes_after from j)
 select bytes_before, bytes_after, {_SIZE.format('bytes_before')} as size_before, round((bytes_before - bytes_after) * 100 / bytes_before, 2) as reduction_percent from s""",
     "url_share_rows": f"select doc_id, round({_URL_SHARE}, 6) as url_share, not coalesce(has_images, false) and coalesce({_URL_SHARE}, 0) > 0.8 as url_only from documents",
     "page_visible_text": r"""with t as (select doc_id, text, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(text,
@@ -202,28 +202,28 @@ select doc_id, q[-1] as file, array_to_string(q[1:len(q)-1], '/') as folder_path
     "safe_names": r"""select doc_id, substring(translate(title, '<>:"/|?*\', '_________'), 1, 100) as safe_name, case when length(title) > 20 then substring(title, 1, 17) || '...' else title end as short_title,
  case when length(text) > 60 then substring(text, 1, 60) || '...' else text end as preview from documents""",
     "token_counts": f"select doc_id, len({_WORDS}) as words, len(list_filter({_WORDS}, lambda x: length(x) > 2)) as long_words, length(text) // 4 as tokens, {_SIZE.format('strlen(text)')} as size from documents",
-    "token_profile_rollup": f"select source, has_images, count(*) as n, sum(len({_WORDS})) as total_tokens, round(avg(len({_WORDS})), 4) as mean_tokens, min(len({_WORDS})) as min_tokens, max(len({_WORDS})) as max_tokens from documents group by rollup (source, has_images)",
+    "token_profile_rollup": f"select source, has_images, count(*) as n, sum(len({_WORDS}))::bigint as total_tokens, round(avg(len({_WORDS})), 4) as mean_tokens, min(len({_WORDS})) as min_tokens, max(len({_WORDS})) as max_tokens from documents group by rollup (source, has_images)",
     "token_percentiles": f"with t as (select len({_WORDS}) as tokens, row_number() over (order by len({_WORDS}), doc_id) as rank, count(*) over () as n from documents) select p, tokens as value from t join (values (10),(25),(50),(75),(90),(95),(99)) as q(p) on rank = floor(n * p / 100) + 1",
     "token_rank_listing": f"select doc_id, len({_WORDS}) as tokens, row_number() over (order by len({_WORDS}), doc_id) as rank from documents",
-    "running_tokens_per_source": "select source, doc_id, length(text) // 4 as tokens, sum(length(text) // 4) over (partition by source order by doc_id rows unbounded preceding) as running_total from documents",
+    "running_tokens_per_source": "select source, doc_id, length(text) // 4 as tokens, sum(length(text) // 4) over (partition by source order by doc_id rows unbounded preceding)::bigint as running_total from documents",
     "counts_grouping_sets": "select source, has_images, count(*) as n from documents group by grouping sets ((source), (has_images), ())",
     "line_offsets": """with l as (select doc_id, string_split(text, chr(10)) as q from documents where text is not null),
 e as (select doc_id, generate_subscripts(q, 1) - 1 as line_no, unnest(q) as line from l)
-select doc_id, line_no, coalesce(sum(length(line) + 1) over (partition by doc_id order by line_no rows between unbounded preceding and 1 preceding), 0) as char_offset, length(line) as line_chars from e""",
+select doc_id, line_no, coalesce(sum(length(line) + 1) over (partition by doc_id order by line_no rows between unbounded preceding and 1 preceding), 0)::bigint as char_offset, length(line) as line_chars from e""",
     "page_sections": rf"""with l as (select doc_id, string_split(text, chr(10)) as q from documents where text is not null),
 e as (select doc_id, generate_subscripts(q, 1) - 1 as n, unnest(q) as line from l),
-o as (select *, coalesce(sum(length(line) + 1) over (partition by doc_id order by n rows between unbounded preceding and 1 preceding), 0) as pos, trim(line, E' \t\r\n') as bare from e),
+o as (select *, coalesce(sum(length(line) + 1) over (partition by doc_id order by n rows between unbounded preceding and 1 preceding), 0)::bigint as pos, trim(line, E' \t\r\n') as bare from e),
 t as (select *, {_TITLE.format('bare')} as title, sum(case when {_TITLE.format('bare')} then 0 else 1 end) over (partition by doc_id order by n) as run from o),
 k as (select *, case when title then row_number() over (partition by doc_id, run, title order by n) end as k, min(case when title then n end) over (partition by doc_id, run) as first from t),
 b as (select *, coalesce(title and (k % 2 = case when first = 0 then 0 else 1 end), false) as brk from k),
-s as (select *, sum(brk::int) over (partition by doc_id order by n) as section_no from b),
+s as (select *, sum(brk::int) over (partition by doc_id order by n)::bigint as section_no from b),
 g as (select doc_id, section_no, min(pos) as start_pos, coalesce(max(case when brk then bare end), '') as ttl, string_agg(line, chr(10) order by n) filter (not brk) as content, bool_or(not brk) as has from s group by 1, 2)
 select doc_id, section_no, start_pos, case when ttl = '' then 'prose' when regexp_matches(ttl, '^#{{1,6}}\s+.+$') then 'markdown_header' when regexp_matches(ttl, '^[A-Z][A-Z\s]{{3,}}$') then 'uppercase_title'
  when regexp_matches(ttl, '^\d+\.?\s+[A-Z].+$') then 'numbered_section' when regexp_matches(ttl, '^[IVX]+\.\s+[A-Z].+$') then 'roman_section' else 'colon_title' end as type, md5(ttl) as title_md5, md5(content) as content_md5 from g where has""".replace("{{", "{").replace("}}", "}"),
     "semantic_units": rf"""with p as (select doc_id, list_filter(list_transform(string_split_regex(text, '\n\n+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') as q from documents where text is not null),
 e as (select doc_id, generate_subscripts(q, 1) - 1 as unit_no, unnest(q) as unit from p)
 select doc_id, unit_no, {_BLOCK.format('unit').replace('{{', '{').replace('}}', '}')} as type, len(string_split({_C.format('unit')}, ' ')) as tokens,
- coalesce(sum(length(unit) + 2) over (partition by doc_id order by unit_no rows between unbounded preceding and 1 preceding), 0) as start_pos, length(unit) as unit_chars from e""",
+ coalesce(sum(length(unit) + 2) over (partition by doc_id order by unit_no rows between unbounded preceding and 1 preceding), 0)::bigint as start_pos, length(unit) as unit_chars from e""",
     "force_split_chunks": f"""with w as (select doc_id, {_WORDS} as w from documents where text is not null), c as (select doc_id, w, unnest(range(0, ceil(len(w) / 225)::bigint)) as chunk_no from w)
 select doc_id, chunk_no, md5(array_to_string(w[chunk_no * 225 + 1 : chunk_no * 225 + 225], ' ')) as chunk_md5 from c""",
     "incremental_pending": """with o as (select * from documents qualify row_number() over (partition by relative_path order by doc_id) = 1),

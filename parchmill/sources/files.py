@@ -119,7 +119,7 @@ def companion_media(rows: DataFrame, id_col: str, json_col: str) -> DataFrame:
 
 def markdown_posts(spark: SparkSession, root: str) -> DataFrame:
     """Markdown files: slug, title, description, date, tags, frontmatter map, markdown. Keys of the head are `key: value` lines or lists."""
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(root).withColumn("path", F.input_file_name())
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(root, wholetext=True).withColumn("path", F.input_file_name())
     head = F.regexp_extract("value", r"^---\n([\s\S]*?)\n---\n?", 1)
     body = F.regexp_replace("value", r"^---\n[\s\S]*?\n---\n?", "")
     entries = F.regexp_extract_all(head, F.lit(r"(?m)^([A-Za-z_][\w-]*\s*:.*)$"), 1)

@@ -89,7 +89,7 @@ def rate_limited(events: DataFrame, key: str, time: str, most: int, length: str
 
 def windowed_latency(events: DataFrame, time: str, value: str, key: str, length: str = "1 hour", late: str = "1 hour") -> DataFrame:
     e = events.withWatermark(time, late) if events.isStreaming else events
-    t = e.groupBy(F.window(time, length).alias("w"), key).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(value), 4).alias("mean"), F.max(value).alias("worst"))
+    t = e.groupBy(F.window(time, length).alias("w"), key).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(value), 6).alias("mean"), F.max(value).alias("worst"))
     return t.select(F.col("w.start").alias("window_start"), key, "n", "mean", "worst")
 
 

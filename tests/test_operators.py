@@ -1,0 +1,164 @@
+"""Operators on literal rows and against brute force."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from parchmill.operators import chat, chunking, pairing, profile, quality, retrieval, tables, vectors
+from parchmill.plans.pages import plain_scorer
+from parchmill.sinks import files as sinks
+
+GOOD = "This is a perfectly useful page with more than ten meaningful words inside, surely enough."
+
+
+def test_dispositions_keep_the_rule_order(spark):
+    rows = [(1, "short", False), (2, GOOD, False), (3, GOOD.upper() + "  ", False), (4, None, True), (5, "", True), (6, "https://example.org/" + "x" * 60, False), (7, None, False), (8, GOOD, None)]
+    df = spark.createDataFrame(rows, "id int, text string, has_images boolean")
+    got = {r.id: (r.disposition, r.original) for r in quality.dispositions(df, "text", "id", "has_images").collect()}
+    assert got == {1: ("useless", None), 2: ("kept", None), 3: ("duplicate", 2), 4: ("kept_with_images", None), 5: ("duplicate", 4), 6: ("useless", None), 7: ("useless", None), 8: ("duplicate", 2)}
+
+
+def test_dispositions_of_an_empty_table(spark):
+    df = spark.createDataFrame([], "id int, text string, has_images boolean")
+    assert quality.disposition_counts(quality.dispositions(df, "text", "id", "has_images")).count() == 0
+
+
+def test_url_only_needs_words(spark):
+    urls = " ".join(f"https://example.org/{i}" for i in range(20))
+    df = spark.createDataFrame([(1, urls)], "id int, text string")
+    assert quality.dispositions(df, "text", "id").first().disposition == "url_only"
+
+
+def test_global_rank_is_dense_and_ordered(spark):
+    rows = [(i % 7, i) for i in range(500)]
+    got = profile.global_rank(spark.createDataFrame(rows, "a int, b int").repartition(5), "a", "b").orderBy("a", "b").collect()
+    assert [r["rank"] for r in got] == list(range(1, 501))
+
+
+def test_index_percentile_is_not_the_discrete_one(spark):
+    df = spark.createDataFrame([(10, 1), (20, 2), (30, 3), (40, 4)], "v int, k int")
+    assert {r.p: r.value for r in profile.index_percentiles(df, "v", "k", (50,)).collect()} == {50: 30}
+
+
+def test_running_total_with_one_hot_key(spark):
+    rows = [("hot", i, 1) for i in range(300)] + [(None, i, 2) for i in range(20)] + [("b", 0, None)]
+    got = profile.running_total(spark.createDataFrame(rows, "k string, i int, v int").repartition(6), ["k"], ["i"], "v").collect()
+    assert all(r.running_total == (r.i + 1) * (1 if r.k == "hot" else 2) for r in got if r.k != "b") and len(got) == 321
+
+
+def test_sections_of_titles_in_a_row(spark):
+    df = spark.createDataFrame([(1, "# A\ntext\n# B\n# C\nmore\nPLAIN TITLE\nend"), (2, ""), (3, None)], "id int, t string")
+    got = [(r.id, r.title, r.content, r.start_pos) for r in chunking.sections(df, "id", "t").orderBy("id", "section_no").collect()]
+    assert got == [(1, "", "# A\ntext", 0), (1, "# B", "# C\nmore", 9), (1, "PLAIN TITLE", "end", 22), (2, "", "", 0)]
+
+
+def test_bounded_merges_and_cuts():
+    w = lambda n: " ".join(["w"] * n)
+    sizes = lambda x: [len(p.split()) for p in chunking.bounded(x)]
+    assert sizes([w(100), w(100), w(700), w(10)]) == [200, 300, 300, 110]
+    assert sizes([w(10)]) == [10] and sizes([]) == [] and sizes([""]) == []
+
+
+@pytest.mark.parametrize("strategy", [*chunking.STRATEGIES, "unknown"])
+def test_strategies_keep_the_words(strategy):
+    text = "\n\n".join(" ".join(f"w{i}x{j}" for j in range(40)) + "." for i in range(30))
+    pieces = chunking.apply_strategy(text, strategy)
+    assert all(len(p.split()) <= chunking.MOST for p in pieces)
+    words = [w for p in pieces for w in p.split()]
+    if strategy == "recursive_character":
+        assert set(words) == set(text.split())
+    else:
+        assert words == text.split()
+
+
+def test_rechunk_levels(spark):
+    text = " ".join(f"tok{i} of it" for i in range(400)) + "."
+    df = spark.createDataFrame([(1, text), (2, "[IMAGE: a]"), (3, None), (4, "")], "id int, t string")
+    kept = chunking.rechunk(df, "id", "t", lambda chunk, original: F.when(F.length(chunk) > 900, 0.2).otherwise(0.9))
+    rows = kept.collect()
+    assert {r.id for r in rows} == {1} and {r.status for r in rows} <= {"accepted", "accepted_retry_depth_1", "accepted_retry_depth_2", "accepted_retry_depth_3", "accepted_max_depth", "accepted_empty_sub"}
+    zero = chunking.rechunk(df, "id", "t", lambda chunk, original: F.lit(0.0)).collect()
+    assert {r.status for r in zero} == {"accepted_empty_sub"} and all(r.is_zero_score for r in zero)
+    assert chunking.rechunk(df, "id", "t", lambda chunk, original: F.lit(None).cast("double")).count() == 0
+    n = chunking.numbered(kept, first=11).orderBy("chunk_id").collect()
+    assert [r.chunk_id for r in n] == list(range(11, 11 + len(n)))
+    assert chunking.rechunk(df, "id", "t", plain_scorer).count() > 0
+
+
+def test_semantic_chunks_carry_the_last_unit():
+    unit = lambda k: " ".join(f"u{k}w{i}" for i in range(250))
+    out = chunking.pack_units("\n\n".join(unit(k) for k in range(4)))
+    assert [c[0].split()[0] for c in out] == ["u0w0", "u1w0", "u2w0"] and out[1][0].startswith(unit(1))
+
+
+def test_companions_and_changes(spark):
+    t = spark.createDataFrame([("d", "a", "a.txt"), ("d", "b", "b.txt")], "dir string, stem string, path string")
+    j = spark.createDataFrame([("d", "a", "a.json"), ("d", "c", "c.json"), ("d", "a", "a.json")], "dir string, stem string, path string")
+    assert {r.path: r.companion for r in pairing.with_companion(t, j, ["dir", "stem"], "path").collect()} == {"a.txt": "a.json", "b.txt": None}
+    assert [r.path for r in pairing.standalone(j, t, ["dir", "stem"]).collect()] == ["c.json"]
+    now, before = (spark.createDataFrame(x, "k string, d string") for x in ([("a", "1"), ("b", "2"), ("c", "3")], [("a", "1"), ("b", "9")]))
+    assert {r.k: r.change for r in pairing.changes(now, before, "k", "d").collect()} == {"a": "unchanged", "b": "changed", "c": "new"}
+    assert {r.k for r in pairing.pending(now, before, "k", "d").collect()} == {"b", "c"}
+    assert sorted((r.k, r.d) for r in pairing.replaced(before, now.filter("k = 'b'"), "k").collect()) == [("a", "1"), ("b", "2")]
+    every, fresh = pairing.memoised(now.select("k"), before, "k", lambda m: m.select("k", F.lit("new").alias("d")))
+    assert {r.k: r.d for r in every.collect()} == {"a": "1", "b": "9", "c": "new"} and fresh.count() == 1
+
+
+def test_chunk_files_and_their_metadata(spark):
+    f = spark.createDataFrame([("x", "--- Chunk 1 [s=a] ---\nOne\n--- Chunk 2 ---\nTwo\n---\n"), ("y", " whole "), ("z", "loose")], "f string, t string")
+    texts = pairing.chunk_texts(f, "f", "t")
+    meta = spark.createDataFrame([("x", 1), ("x", 2), ("x", 3), ("y", 7), ("z", 8), ("z", 9)], "file string, chunk_id long")
+    assert sorted((r.file, r.chunk_id, r.text) for r in pairing.match_texts(meta, texts).collect()) == [("x", 1, "One"), ("x", 2, "Two"), ("y", 7, "whole")]
+
+
+def test_table_rows_and_images(spark):
+    page = "<table><tr><th>a</th><th>b;c</th></tr><tr><td>1</td><td>2</td></tr></table>"
+    rows = tables.table_rows(spark.createDataFrame([(1, page), (2, None), (3, "")], "id int, h string"), "id", "h")
+    assert [(r.table_no, r.row_no, r.cells) for r in rows.orderBy("row_no").collect()] == [(1, 0, ["a", "b;c"]), (1, 1, ["1", "2"])]
+    assert [r[0] for r in rows.orderBy("row_no").select(sinks.csv_line(F.col("cells"))).collect()] == ['a;"b;c"', "1;2"]
+    cells = spark.createDataFrame([(1, 1, "a", True), (1, 1, "b", False), (1, 2, "c", False), (2, 1, "x", False), (2, 2, "y", False)], "t int, r int, c string, h boolean")
+    assert [r.t for r in tables.valid_tables(cells, ["t"], "r", "c", "h").collect()] == [1]
+
+
+def test_vectors_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(300, 8)).astype(np.float32)
+    m[7] = m[3]
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(m)] + [(999, None)], "vec_id long, embedding array<float>").repartition(4)
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    s = np.round(u.astype(np.float64) @ u.T.astype(np.float64), 6)
+    np.fill_diagonal(s, -9)
+    q = df.filter("vec_id % 50 = 0")
+    got = {(r.query_id, r["rank"]): r.match_id for r in vectors.top_k(df, q, 4).collect()}
+    for i in range(0, 300, 50):
+        best = sorted(range(300), key=lambda j: (-s[i, j], j))[:4]
+        assert all(abs(s[i, got[i, k + 1]] - s[i, b]) < 2e-6 for k, b in enumerate(best))
+    indexed = vectors.indexed_top_k(df, q, 4, vectors.fit_centres(df, lists=8), probes=8).count()
+    assert indexed == 24
+    assert vectors.top_k(df, df.limit(0), 3).count() == 0
+
+
+def test_index_recall(spark):
+    from conftest import DATA
+
+    from parchmill.plans.search import index_recall
+
+    assert index_recall(spark, DATA).first().recall >= 0.9
+
+
+def test_bm25_of_nothing(spark):
+    d = spark.createDataFrame([(1, "a b"), (2, None), (3, "")], "id int, t string")
+    q = spark.createDataFrame([(1, "B!"), (2, "zzz"), (3, None)], "q int, t string")
+    got = retrieval.bm25(d, "id", "t", q, "q", "t", 5).collect()
+    assert [(r.query_id, r.doc_id) for r in got] == [(1, 1)]
+
+
+def test_feedback_merge_and_checks(spark):
+    ts = "2025-01-0{} 00:00:00"
+    rows = [("f1", "m", 4, None, "", None, ts.format(1)), ("f2", "m", None, "helpful", None, "x", ts.format(2)), ("f3", "n", 9, None, None, None, ts.format(1))]
+    df = spark.createDataFrame(rows, "feedback_id string, message_id string, rating int, sentiment string, issue_type string, comment string, submitted_at string").withColumn("submitted_at", F.col("submitted_at").cast("timestamp"))
+    merged = {r.message_id: (r.rating, r.sentiment, r.comment) for r in chat.merged_feedback(df).collect()}
+    assert merged == {"m": (4, "helpful", "x"), "n": (9, None, None)}
+    assert {r.feedback_id: r.error for r in chat.valid_feedback(df).collect()} == {"f1": None, "f2": None, "f3": "rating"}
+    assert chat.feedback_summary(df.limit(0)).first()[:] == (0, 0.0, 0, 0, 0.0)
+    assert chat.rating_distribution(df.limit(0)).count() == 5
