@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Weights of the criteria.
@@ -35,10 +35,30 @@ def parse_scores(raw: Column) -> Column:
     part = F.regexp_extract(raw, r"(?s)(\{.*)", 1)
     found = {c: _clamp(F.regexp_extract(part, rf'"{c}"\s*:\s*([0-9]*\.?[0-9]+)', 1).try_cast("double")) for c in (*CRITERIA, "final_score")}
     n = sum((found[c].isNotNull().cast("int") for c in CRITERIA), F.lit(0))
-    mean = F.round(sum((F.coalesce(found[c], F.lit(0.0)) for c in CRITERIA), F.lit(0.0)) / n, 3)
+    mean = F.round(F.try_divide(sum((F.coalesce(found[c], F.lit(0.0)) for c in CRITERIA), F.lit(0.0)), n), 3)
     rescued = {c: F.coalesce(found[c], mean if c == "fidelity" else F.lit(0.0)) for c in CRITERIA}
 
     def struct(values: dict[str, Column], own: Column) -> Column:
         return F.struct(*(values[c].alias(c) for c in CRITERIA), weighted(values).alias("final_score"), F.coalesce(own, F.lit(0.0)).alias("llm_final_score"))
 
     return F.when(is_complete, struct(complete, complete["final_score"])).when(n >= LEAST_CRITERIA, struct(rescued, found["final_score"]))
+
+
+def with_scores(df: DataFrame, raw: str, name: str = "scores") -> DataFrame:
+    """parse_scores as a column added in steps: each part of the answer is looked for once a row, however often it is used after."""
+    body = F.regexp_extract(F.col(raw), r"(?s)(\{.*)", 1)
+    out = df.withColumn("_part", body).withColumn("_whole", F.from_json(F.regexp_extract("_part", r"(?s)(\{.*\})", 1), "struct<" + ",".join(f"{c}:double" for c in (*CRITERIA, "final_score")) + ">"))
+    found = F.struct(*(_clamp(F.regexp_extract("_part", rf'"{c}"\s*:\s*([0-9]*\.?[0-9]+)', 1).try_cast("double")).alias(c) for c in (*CRITERIA, "final_score")))
+    whole = F.struct(*(_clamp(F.col(f"_whole.{c}")).alias(c) for c in (*CRITERIA, "final_score")))
+    complete = F.lit(True)
+    for c in CRITERIA:
+        complete = complete & F.col(f"_whole.{c}").isNotNull()
+    out = out.withColumn("_complete", F.coalesce(complete, F.lit(False))).withColumn("_s", F.when(F.col("_complete"), whole).otherwise(found))
+    n = sum((F.col(f"_s.{c}").isNotNull().cast("int") for c in CRITERIA), F.lit(0))
+    out = out.withColumn("_n", n)
+    mean = F.round(F.try_divide(sum((F.coalesce(F.col(f"_s.{c}"), F.lit(0.0)) for c in CRITERIA), F.lit(0.0)), F.col("_n")), 3)
+    filled = {c: F.coalesce(F.col(f"_s.{c}"), mean if c == "fidelity" else F.lit(0.0)) for c in CRITERIA}
+    out = out.withColumn("_f", F.struct(*(v.alias(c) for c, v in filled.items())))
+    own = {c: F.col(f"_f.{c}") for c in CRITERIA}
+    result = F.struct(*(own[c].alias(c) for c in CRITERIA), weighted(own).alias("final_score"), F.coalesce(F.col("_s.final_score"), F.lit(0.0)).alias("llm_final_score"))
+    return out.withColumn(name, F.when(F.col("_n") >= LEAST_CRITERIA, result)).drop("_part", "_whole", "_complete", "_s", "_n", "_f")

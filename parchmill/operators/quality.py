@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import cut_lineage
 
 LEAST_CHARS = 50
 LEAST_WORDS = 10
@@ -15,11 +18,15 @@ MOST_URL = 0.8
 GREETINGS = r"^(bienvenue\s*!?|welcome\s*!?|accueil|home)\s*$"
 
 
-def useless_reason(text: Column, has_images: Column | None = None) -> Column:
-    """empty, too_short, too_few_words or greeting, the first that applies; null for a page of use. Pages with images always are."""
+def useless_reason(collapsed: Column, has_images: Column | None = None) -> Column:
+    """empty, too_short, too_few_words or greeting, the first that applies; null for a page of use. Pages with images always are.
+
+    collapsed is the text after functions.text.collapse, null counting as empty: a column of its own, so that it is made once.
+    """
     images = F.coalesce(has_images, F.lit(False)) if has_images is not None else F.lit(False)
-    t = tx.collapse(F.coalesce(text, F.lit("")))
-    return F.when(images, F.lit(None)).when(t == "", "empty").when(F.length(t) < LEAST_CHARS, "too_short").when(tx.long_word_count(t) < LEAST_WORDS, "too_few_words").when(F.lower(t).rlike(GREETINGS), "greeting")
+    t = F.coalesce(collapsed, F.lit(""))
+    words = F.size(F.filter(F.split(t, " "), lambda w: F.length(w) > 2))
+    return F.when(images, F.lit(None)).when(t == "", "empty").when(F.length(t) < LEAST_CHARS, "too_short").when(words < LEAST_WORDS, "too_few_words").when(F.lower(t).rlike(GREETINGS), "greeting")
 
 
 def url_only(text: Column, has_images: Column | None = None) -> Column:
@@ -32,32 +39,32 @@ def has_image(html: Column) -> Column:
     return html.rlike(r"(?i)<img\b|data:image/|base64")
 
 
-def first_occurrences(df: DataFrame, key: Column, *order: str) -> DataFrame:
-    """original (the first row of the same key, by the first of order) and occurrence (from 1) for each row.
+def first_occurrences(df: DataFrame, key: str, id_col: str) -> DataFrame:
+    """original: the least id of the rows with the same key.
 
-    The first of each key is found by an aggregate, which combines on the map side, and joined; a key that a third of all rows share isn't
-    sorted in one task. occurrence is 1 for the first and 2 for every other row.
+    It is found by an aggregate, which combines on the map side, and joined; rows of a key that a third of all share aren't
+    sorted in one task, and AQE splits them in the join.
     """
-    keyed = df.withColumn("_key", key)
-    firsts = keyed.groupBy("_key").agg(F.min(F.struct(*order)).alias("_first"))
-    own = F.struct(*order)
-    return keyed.join(firsts, "_key").withColumn("original", F.col(f"_first.{order[0]}")).withColumn("occurrence", F.when(own == F.col("_first"), 1).otherwise(2)).drop("_key", "_first")
+    return df.join(df.groupBy(key).agg(F.min(id_col).alias("original")), key)
 
 
-def dispositions(pages: DataFrame, text: str, id_col: str, has_images: str | None = None) -> DataFrame:
-    """disposition (kept, kept_with_images, useless, url_only, duplicate), reason and original of each page.
+def dispositions(pages: DataFrame, text: str, id_col: str, has_images: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """(id, keep..., disposition, reason, original): disposition is kept, kept_with_images, useless, url_only or duplicate.
 
-    Rules in this order: useless, then addresses only, then duplicates; a page that is removed is never an original.
+    Rules in this order: useless, then addresses only, then duplicates; a page that is removed is never an original. Texts are read once:
+    what is judged of them is written before the duplicates are looked for. Ids are unique; null texts count as empty.
     """
-    images = F.col(has_images) if has_images else F.lit(False)
-    judged = pages.withColumn("reason", useless_reason(F.col(text), images)).withColumn(
-        "_out", F.when(F.col("reason").isNotNull(), "useless").when(url_only(F.col(text), images), "url_only")
-    )
-    kept = first_occurrences(judged.filter("_out is null"), tx.content_key(F.coalesce(F.col(text), F.lit(""))), id_col)
-    label = F.when(F.col("occurrence") > 1, "duplicate").when(images, "kept_with_images").otherwise("kept")
-    a = kept.withColumn("disposition", label).withColumn("original", F.when(F.col("occurrence") > 1, F.col("original")))
-    b = judged.filter("_out is not null").withColumn("disposition", F.col("_out")).withColumn("original", F.lit(None).cast(pages.schema[id_col].dataType))
-    return a.drop("_out", "occurrence").unionByName(b.drop("_out"))
+    images = F.coalesce(F.col(has_images), F.lit(False)) if has_images else F.lit(False)
+    once = pages.select(id_col, *keep, images.alias("_images"), text, tx.collapse(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
+    reasons = once.withColumn("reason", useless_reason(F.col("_t"), F.col("_images"))).withColumn("_url", url_only(F.col(text), F.col("_images")))
+    out = F.when(F.col("reason").isNotNull(), "useless").when(F.col("_url"), "url_only")
+    # A removed page has a key of its own, so that the rest is one pass over all.
+    key = F.when(F.col("reason").isNull() & ~F.col("_url"), F.sha2(F.lower("_t"), 256)).otherwise(F.concat(F.lit("-"), F.col(id_col).cast("string")))
+    narrow = cut_lineage(reasons.select(id_col, *keep, "_images", "reason", out.alias("_out"), key.alias("_key")))
+    found = first_occurrences(narrow, "_key", id_col)
+    copy = F.col("original") != F.col(id_col)
+    label = F.coalesce(F.col("_out"), F.when(copy, "duplicate").when(F.col("_images"), "kept_with_images").otherwise("kept"))
+    return found.select(id_col, *keep, label.alias("disposition"), "reason", F.when(F.col("_out").isNull() & copy, F.col("original")).alias("original"))
 
 
 def disposition_counts(judged: DataFrame) -> DataFrame:

@@ -82,7 +82,7 @@ def judge_scores(spark, d):
         .when(kind == 3, F.concat(F.lit("{"), head, F.lit(', "fidelity": 1.7}')))
         .otherwise(F.lit("no score"))
     )
-    rows = c.select("chunk_id", scoring.parse_scores(raw).alias("s"))
+    rows = scoring.with_scores(c.select("chunk_id", raw.alias("raw")), "raw", "s")
     return rows.select("chunk_id", "s.completeness", "s.fidelity", "s.final_score", "s.llm_final_score")
 
 

@@ -23,7 +23,8 @@ def clean_disposition_counts(spark, d):
 
 
 def useless_reason_rows(spark, d):
-    return _documents(spark, d).select("doc_id", quality.useless_reason(F.col("text"), F.col("has_images")).alias("reason")).filter("reason is not null")
+    t = _documents(spark, d).select("doc_id", "has_images", tx.collapse(F.col("text")).alias("t"))
+    return t.select("doc_id", quality.useless_reason(F.col("t"), F.col("has_images")).alias("reason")).filter("reason is not null")
 
 
 def exact_dedup_first_wins(spark, d):
@@ -35,7 +36,8 @@ def duplicates_map(spark, d):
 
 
 def corpus_size_reduction(spark, d):
-    return quality.size_reduction(_judged(spark, d), F.octet_length("text").cast("long"))
+    pages = _documents(spark, d).select("doc_id", "text", "has_images", F.octet_length("text").cast("long").alias("bytes"))
+    return quality.size_reduction(quality.dispositions(pages, "text", "doc_id", "has_images", ["bytes"]), F.col("bytes"))
 
 
 def url_share_rows(spark, d):

@@ -74,6 +74,8 @@ def test_shares_of_nothing(spark):
 def test_scores_of_a_judge(spark, raw, expected):
     s = values(spark, scoring.parse_scores, raw)[0]
     assert (None if s is None else (s.final_score, s.llm_final_score, s.fidelity)) == expected
+    staged = scoring.with_scores(spark.createDataFrame([(raw,)], "x string"), "x").first().scores
+    assert staged == s
 
 
 def test_weights_sum_to_one():
