@@ -139,7 +139,7 @@ def test_vectors_against_brute_force(spark):
 
 
 def test_index_recall(spark):
-    from conftest import DATA
+    from helpers import DATA
 
     from parchmill.plans.search import index_recall
 

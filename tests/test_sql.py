@@ -1,7 +1,7 @@
 """Every core query with an SQL twin against DuckDB; those without run and have columns."""
 
 import pytest
-from conftest import DATA, same_as_sql
+from helpers import DATA, same_as_sql
 
 from parchmill.plans import catalog
 
