@@ -196,7 +196,8 @@ def refusal_messages(pairs: DataFrame) -> DataFrame:
         .withColumn("courtesy", F.col("clause").isin(courtesy))
         .select("clause_id", "prompts", F.coalesce("refusal", F.lit(False)).alias("refusal"), "courtesy")
     )
-    # The clauses with a code, or of a cluster that recurs little, say something.
+    # Clauses with a name or code, or that recur little, say something. (Nouns count as names in German, so that there
+    # templates are mostly known by the exemplars.)
     known = cut_lineage(opened.join(marks, "clause_id", "left"))
     says = (F.col("words") >= CLAUSE_WORDS) & ~F.coalesce("refusal", F.lit(False)) & ~F.coalesce("courtesy", F.lit(False))
     template = says & (F.col("prompts") >= RECURRING_PROMPTS) & ~F.col("clause").rlike("[#@]")

@@ -188,10 +188,11 @@ def judge(text: str, index: Index, pairs: Pairs) -> tuple[str, float] | None:
                 found |= forms(passages[k])
             if repeated(words):
                 found |= {"§rep"}
-            elif mashed(passages[k], words, pairs):
+            labels = index.labels(found) if found and not index.postings.keys().isdisjoint(found) else set()
+            if not labels and mashed(passages[k], words, pairs):
                 found |= {"§mash"}
-            hit = found and not index.postings.keys().isdisjoint(found)
-            seen[k] = words, found, index.labels(found) if hit else set()
+                labels = index.labels(found)
+            seen[k] = words, found, labels
         return seen[k]
 
     if not any([look(k)[2] for k in range(len(passages))]):
