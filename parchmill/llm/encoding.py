@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import codecs
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 SAMPLE_PAGES = 300
 SAMPLE_CHARS = 12_000
 DICTIONARY_BYTES = 48_000
-LEVEL = 9
+LEVEL = 16
 #: Bytes that a step of a chain costs, once a text.
 STEP_COST = 1
 
@@ -126,7 +127,7 @@ def oddities(text: str) -> list[tuple[str, int]]:
 def candidates(sentence: str) -> list[tuple[str, tuple, bool]]:
     """Decodings of a sentence other than itself: (text, chain, evidence), the shortest chain for each text.
 
-    A decoding from UTF-8 sequences is evidence if all that is new in it is at home, or a Latin letter, and in place; one through a
+    A decoding from UTF-8 sequences is evidence if all that is new in it is at home, or a Latin letter, and in place, or if there are several letters or symbols; one through a
     single-byte chain if it also mends a letter and the chain accounts for all characters beyond ASCII. Other decodings are open to a sentence where the rest of the text speaks for their chain.
     """
     odd = oddities(sentence)
@@ -142,7 +143,8 @@ def candidates(sentence: str) -> list[tuple[str, tuple, bool]]:
             return False
         new = [(c, n) for c, n in then if c not in strangers]
         if chain[-1][1] == "utf_8":
-            sure = all(n <= 3 and (c in _HOME or "\u00c0" <= c <= "\u017f") for c, n in new)
+            # Two or more sequences that give letters or symbols of whatever script don't come about by chance.
+            sure = all(n <= 3 and (c in _HOME or "\u00c0" <= c <= "\u017f") for c, n in new) or len(new) > 1 and all(unicodedata.category(c)[0] in "LS" or c in _HOME for c, _ in new)
         else:
             sure = all(n <= 3 for _, n in new)
         out[text] = chain, sure
