@@ -105,7 +105,7 @@ def candidate_pairs(representatives: DataFrame, segments: int, width: int) -> Da
         for batch in batches:
             if len(batch):
                 symbols = np.frombuffer(b"".join(batch["symbols"]), dtype=np.uint16).reshape(len(batch), -1)
-                yield pd.DataFrame({"id": batch["id"], "keys": list(probe_keys(symbols, segments, width))})
+                yield pd.DataFrame({"id": batch["id"], "keys": list(probe_keys(symbols[:, : segments * width], segments, width))})
 
     kind = representatives.schema["id"].dataType.simpleString()
     postings = representatives.mapInPandas(run, f"id {kind}, keys array<long>").select(F.explode("keys").alias("key"), "id")
@@ -141,7 +141,7 @@ def _jaccard(shingle: int):
 
 def near_duplicates(
     records: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD, shingle: int = SHINGLE_WORDS, min_words: int = MIN_WORDS,
-    segments: int = SEGMENTS, width: int = SEGMENT_SYMBOLS,
+    segments: int = SEGMENTS, width: int = SEGMENT_SYMBOLS, spare: int = 0,
 ) -> tuple[DataFrame, DataFrame]:
     """Links between representatives and the membership of all records.
 
@@ -150,9 +150,10 @@ def near_duplicates(
     Links of texts that differ only in the order of their words' runs have similarity 1.
 
     A pair of similarity s is a candidate with probability 1 - (1 - s^w - w s^(w-1) (1-s))^segments, w being width;
-    the complete distance is then allowed the expected number of unequal symbols plus four standard deviations.
+    the complete distance is then allowed the expected number of unequal symbols plus four standard deviations. spare symbols beyond the
+    segments make that distance sharper without more keys.
     """
-    n = segments * width
+    n = segments * width + spare
     base = records.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     prints = cut_lineage(fingerprints(base, shingle, min_words, n))
     reps = cut_lineage(prints.groupBy("high", "low").agg(F.min(F.struct("id", "symbols")).alias("r")).select("high", "low", "r.id", "r.symbols"))

@@ -186,7 +186,7 @@ def refusal_messages(pairs: DataFrame) -> DataFrame:
     records = told.select("clause_id", "clause").unionByName(seeds.select("clause_id", "clause")).distinct()
     plain = records.withColumn("clause", F.regexp_replace(F.regexp_replace("clause", "@", "zzname"), "#", "zzcode"))
     # Clauses shorter than a shingle can only be equal.
-    links, members = near_duplicates(plain, "clause_id", "clause", threshold=SIMILARITY, shingle=SHINGLE_WORDS, min_words=SHINGLE_WORDS, segments=4)
+    links, members = near_duplicates(plain, "clause_id", "clause", threshold=SIMILARITY, shingle=SHINGLE_WORDS, min_words=SHINGLE_WORDS, segments=4, spare=28)
     seed_classes = members.join(seeds.select(F.col("clause_id").alias("id")), "id", "left_semi").select("representative").distinct()
     a = links.select(F.col("a").alias("representative"), F.col("b").alias("near")).unionByName(links.select(F.col("b").alias("representative"), F.col("a").alias("near")))
     near = a.join(seed_classes, "representative").select(F.col("near").alias("representative")).union(seed_classes).distinct()
