@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import media
 from ..functions import text as tx
-from ..operators import chunking, pairing, profile, quality
+from ..operators import assembly, chunking, pairing, profile, quality
 
 
 def _documents(spark, d: str) -> DataFrame:
@@ -144,6 +144,11 @@ def rechunked(spark, d):
     return chunking.numbered(kept).select(F.col("id").alias("doc_id"), "chunk_id", "chunk_no", "total_chunks", "status", "method", "retry_depth", "score", F.length("chunk").alias("chars"))
 
 
+def chunk_entries(spark, d):
+    e = assembly.chunk_entries(_documents(spark, d), "doc_id", "text", plain_scorer)
+    return e.drop("text", "image_summary").withColumnRenamed("id", "doc_id")
+
+
 def incremental_pending(spark, d):
     now = _documents(spark, d).select("relative_path", F.md5("text").alias("digest"), "doc_id", "updated_at", "text")
     one = now.groupBy("relative_path").agg(F.min(F.struct("doc_id", "digest", "text", "updated_at")).alias("r")).select("relative_path", "r.*")
@@ -161,7 +166,7 @@ QUERIES = {
     for f in (
         clean_disposition_counts, useless_reason_rows, exact_dedup_first_wins, duplicates_map, corpus_size_reduction, url_share_rows, page_visible_text, content_keys, path_parts, page_slugs, safe_names,
         token_counts, token_profile_rollup, token_percentiles, token_rank_listing, running_tokens_per_source, counts_grouping_sets, line_offsets, page_sections, semantic_units, force_split_chunks,
-        sentence_chunks, smaller_chunks, paragraph_chunks, recursive_chunks, semantic_chunks, rechunked, incremental_pending, image_positions,
+        sentence_chunks, smaller_chunks, paragraph_chunks, recursive_chunks, semantic_chunks, rechunked, chunk_entries, incremental_pending, image_positions,
     )
 }
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from parchmill.operators import chat, chunking, pairing, profile, quality, retrieval, tables, vectors
+from parchmill.operators import assembly, chat, chunking, pairing, profile, quality, retrieval, tables, vectors
 from parchmill.plans.pages import plain_scorer
 from parchmill.sinks import files as sinks
 
@@ -162,3 +162,16 @@ def test_feedback_merge_and_checks(spark):
     assert {r.feedback_id: r.error for r in chat.valid_feedback(df).collect()} == {"f1": None, "f2": None, "f3": "rating"}
     assert chat.feedback_summary(df.limit(0)).first()[:] == (0, 0.0, 0, 0, 0.0)
     assert chat.rating_distribution(df.limit(0)).count() == 5
+
+
+def test_chunk_entries(spark):
+    long = " ".join(f"word{i} goes here." for i in range(300))
+    df = spark.createDataFrame([(1, "short text with [IMAGE: a.png]"), (2, long), (3, None), (4, "  ")], "id int, t string")
+    rows = assembly.chunk_entries(df, "id", "t", plain_scorer, first_id=100).orderBy("chunk_id").collect()
+    assert [r.chunk_id for r in rows] == list(range(100, 100 + len(rows))) and {r.id for r in rows} == {1, 2}
+    assert (rows[0].status, rows[0].content_type, rows[0].total_chunks, rows[0].low_content) == ("original_untouched", "image_section", 1, True)
+    assert all(r.total_chunks == len(rows) - 1 and r.token_count <= 300 for r in rows[1:]) and [r.chunk_start_position for r in rows[1:]] == sorted(r.chunk_start_position for r in rows[1:])
+    j = assembly.json_entries(spark.createDataFrame([(1, '{"a": 1}'), (2, "no"), (3, None)], "id int, j string"), "id", "j")
+    assert j.count() == 2 and j.filter("raw is null").count() == 1
+    kinds = spark.createDataFrame([("page", "1"), ("Blogpost", "2"), ("page", "att3"), ("comment", "4"), (None, "5")], "k string, i string")
+    assert [r.i for r in kinds.filter(assembly.is_page(F.col("k"), F.col("i"))).collect()] == ["1", "2"]
