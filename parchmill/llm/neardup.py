@@ -184,6 +184,34 @@ def all_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
     return both.select(F.least("ida", "idb").alias("id_a"), F.greatest("ida", "idb").alias("id_b")).distinct()
 
 
+def groups(links: DataFrame, members: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """(id, group): members of linked classes have the same group, the least representative among them.
+
+    Each round takes the least label among the neighbours, then the label of that label, so a chain of n classes takes about log2(n) rounds.
+    Labels are written every round; only classes with links take part.
+    """
+    edges = cut_lineage(links.select(F.col("a").alias("x"), F.col("b").alias("y")).union(links.select("b", "a")))
+    labels = edges.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("label"))
+    labels = cut_lineage(labels)
+    for _ in range(most_rounds):
+        near = edges.join(labels, F.col("y") == F.col("node")).groupBy("x").agg(F.min("label").alias("near"))
+        met = labels.join(near, F.col("node") == F.col("x"), "left").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        up = met.select(F.col("node").alias("label"), F.col("label").alias("up"))
+        new = cut_lineage(met.join(up, "label", "left").select("node", "old", F.coalesce("up", "label").alias("label")))
+        labels = new.select("node", "label")
+        if not new.filter("label <> old").take(1):
+            break
+    else:
+        raise RuntimeError("groups haven't settled")
+    joined = members.join(labels, F.col("representative") == F.col("node"), "left")
+    return joined.groupBy("id").agg(F.min(F.coalesce("label", "representative")).alias("group"))
+
+
+def p2_groups(spark, sf_dir: str) -> DataFrame:
+    """One row per chunk in scope with its group of near-duplicates."""
+    return groups(*near_duplicates(spark.read.parquet(f"{sf_dir}/chunks.parquet"), "chunk_id", "text")).select(F.col("id").alias("chunk_id"), F.col("group").alias("group_id"))
+
+
 def p2_found(spark, sf_dir: str) -> DataFrame:
     """Pairs of chunks whose runs of three words are at least 60 % in common."""
     links, members = near_duplicates(spark.read.parquet(f"{sf_dir}/chunks.parquet"), "chunk_id", "text")
@@ -197,5 +225,5 @@ def p2_links(spark, sf_dir: str) -> DataFrame:
     return members.join(degree, "representative", "left").select(F.col("id").alias("chunk_id"), "representative", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_links": p2_links}
+QUERIES = {"p2_found": p2_found, "p2_links": p2_links, "p2_groups": p2_groups}
 SQL: dict[str, str] = {}

@@ -109,6 +109,15 @@ def test_near_duplicates_in_blocks_and_of_nothing(spark, monkeypatch):
     assert links.count() == 0 and members.count() == 0
 
 
+def test_groups_of_a_long_chain(spark):
+    chain = [(i, i + 1) for i in range(1, 40)] + [(50, 51)]
+    links = spark.createDataFrame(chain, "a int, b int")
+    members = spark.createDataFrame([(i, i) for i in range(1, 41)] + [(50, 50), (51, 51), (60, 60), (99, 7)], "id int, representative int")
+    got = {r.id: r.group for r in neardup.groups(links, members).collect()}
+    assert got == {**dict.fromkeys([*range(1, 41), 99], 1), 50: 50, 51: 50, 60: 60}
+    assert neardup.groups(links.limit(0), members).count() == 44
+
+
 # Problem 3
 
 
