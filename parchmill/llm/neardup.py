@@ -156,11 +156,13 @@ def near_duplicates(
     n = segments * width + spare
     base = records.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     prints = cut_lineage(fingerprints(base, shingle, min_words, n))
-    reps = cut_lineage(prints.groupBy("high", "low").agg(F.min(F.struct("id", "symbols")).alias("r")).select("high", "low", "r.id", "r.symbols"))
-    members = prints.select("id", "high", "low").distinct().join(reps.select("high", "low", F.col("id").alias("representative")), ["high", "low"]).select("id", "representative")
+    classes = prints.groupBy("high", "low").agg(F.min("id").alias("representative"))
+    members = prints.select("id", "high", "low").distinct().join(classes, ["high", "low"]).select("id", "representative")
+    # The classes carry no fingerprints: those of the representatives are fetched by id, which is the order in which pairs are verified too.
+    reps = prints.join(classes.select(F.col("representative").alias("id")), "id", "left_semi").dropDuplicates(["id", "high", "low"]).select("id", "symbols")
     # A representative that stands for two classes (an id with two texts) would meet itself; a < b drops that.
     farthest = math.ceil(n * (1 - threshold) + 4 * math.sqrt(n * threshold * (1 - threshold)))
-    pairs = candidate_pairs(reps.select("id", "symbols"), segments, width)
+    pairs = candidate_pairs(reps, segments, width)
     a, b = (reps.select(F.col("id").alias(x), F.col("symbols").alias(f"s{x}")) for x in "ab")
     close = cut_lineage(pairs.join(a, "a").join(b, "b").filter(hamming("sa", "sb") <= farthest).select("a", "b").distinct())
     # The texts are fetched for the few representatives in a close pair only.
