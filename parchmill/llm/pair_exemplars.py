@@ -22,3 +22,16 @@ COURTESY = (
     "Entschuldigung für die Wartezeit.", "Laut Dokumentation:", "Danke für Ihre Frage.", "Haben Sie eine andere Frage?", "Danke für Ihr Verständnis.", "bitte formulieren Sie neu.", "fragen Sie Ihre Ansprechperson.", "Bitte wenden Sie sich an die Beratung.", "Aus Gründen der Vertraulichkeit", "so geht es.",
     "Perdón por la espera.", "Según la documentación:", "Gracias por su pregunta.", "¿Desea consultar otra cosa?", "Gracias por su comprensión.", "reformule la pregunta, por favor.", "consulte con su contacto habitual.", "Diríjase a un asesor.", "Diríjase a un consultor.", "reformule la pregunta.", "Por motivos de confidencialidad,", "se hace así.",
 )
+
+#: Where no comma parts them, openers and what follows make one clause: each opener goes with each body.
+OPENERS = {
+    "de": ("Leider", "Bedauerlicherweise", "In diesem Rahmen", "In diesem Zusammenhang", "Aus Gründen der Vertraulichkeit"),
+    "es": ("Por desgracia", "Lamentablemente", "En este contexto", "Por motivos de confidencialidad"),
+}
+BODIES = {
+    "de": (
+        "darf ich das nicht erläutern.", "kann ich Ihre Anfrage zu X nicht bearbeiten.", "muss ich auf eine Antwort zu X verzichten.", "gehe ich auf diese Frage nicht ein.", "ist mir keine Hilfe zu X möglich.",
+        "ist es mir nicht möglich, darauf zu antworten.", "kann ich dazu nichts sagen.",
+    ),
+    "es": ("me resulta imposible responder.", "no se me permite explicarlo.", "debo abstenerme de contestar sobre X.", "no puedo atender su solicitud sobre X.", "no daré curso a esta pregunta.", "no estoy en condiciones de atender su solicitud sobre X."),
+}

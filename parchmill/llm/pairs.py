@@ -23,7 +23,7 @@ from ..session import cut_lineage
 from .conversations import answer_pairs, latest_messages
 from .encoding import language_samples
 from .neardup import near_duplicates
-from .pair_exemplars import COURTESY, REFUSALS
+from .pair_exemplars import BODIES, COURTESY, OPENERS, REFUSALS
 from .words import WORD, folded_words, has_word
 
 #: Clauses of an answer that count as its opening.
@@ -179,7 +179,8 @@ def refusal_messages(pairs: DataFrame) -> DataFrame:
     """message_id of the answers that decline."""
     spark = pairs.sparkSession
     courtesy = sorted(_labelled(COURTESY))
-    refusals = sorted(c for c in _labelled(REFUSALS) - set(courtesy) if c.count(" ") + 1 >= CLAUSE_WORDS)
+    joined = tuple(f"{opener} {body}" for lang, openers in OPENERS.items() for opener in openers for body in BODIES[lang])
+    refusals = sorted(c for c in _labelled(REFUSALS + joined) - set(courtesy) if c.count(" ") + 1 >= CLAUSE_WORDS)
     opened = cut_lineage(opening_clauses(pairs))
     seeds = spark.createDataFrame([(clause_id(c), c, True) for c in refusals], "clause_id long, clause string, seed boolean")
     told = opened.filter(F.col("words") >= CLAUSE_WORDS).groupBy("clause_id").agg(F.first("clause").alias("clause"), F.countDistinct("prompt").alias("prompts"))
