@@ -8,13 +8,14 @@ sys.path[:0] = [os.path.dirname(os.path.dirname(os.path.abspath(__file__))), os.
 
 from helpers import DATA  # noqa: E402
 
-from parchmill.session import local_session  # noqa: E402
+from parchmill.session import local_session, ship_package  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
     s = local_session("tests", cpus=4, shuffle_partitions=4)
     s.sparkContext.setLogLevel("ERROR")
+    ship_package(s)
     yield s
     s.stop()
 
