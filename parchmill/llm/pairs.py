@@ -172,7 +172,7 @@ def opening_clauses(pairs: DataFrame) -> DataFrame:
 
 
 def _labelled(texts: tuple[str, ...]) -> set[str]:
-    return {c for t in texts for c in clauses(t.replace(" X", " Zanelor").replace("X ", "Zanelor "))}
+    return {c for t in texts for x in ("Zanelor", "ABC_123") for c in clauses(re.sub(r"\bX\b", x, t))}
 
 
 def refusal_messages(pairs: DataFrame) -> DataFrame:
