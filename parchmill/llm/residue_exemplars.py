@@ -33,7 +33,7 @@ EXEMPLARS: dict[str, tuple[str, ...]] = {
         "page non trouvée", "page not found", "page not available", "page introuvable", "Seite nicht gefunden", "Seite nicht verfügbar", "página no encontrada", "página no disponible",
         "die angeforderte Seite wurde nicht gefunden", "Seite nicht vorhanden", "página inexistente", "die Seite wurde nicht gefunden", "la página solicitada no existe", "no se encuentra la página",
         "cette page n'existe plus ou a été déplacée", "this page is gone or has moved", "diese Seite gibt es nicht mehr oder sie wurde verschoben", "esta página ya no existe o se ha movido",
-        "cette page n'existe plus", "this page no longer exists", "diese Seite existiert nicht mehr", "esta página ya no existe",
+        "cette page n'existe plus", "this page no longer exists", "diese Seite existiert nicht mehr", "diese Seite gibt es nicht mehr", "esta página ya no existe",
         "le service est momentanément indisponible merci de réessayer dans minutes", "the service is currently down try again in minutes", "der Dienst ist zurzeit nicht erreichbar bitte in Minuten erneut versuchen", "el servicio no está disponible vuelva a intentarlo en minutos",
         "el servicio no está disponible inténtelo dentro de minutos", "service temporarily unavailable", "internal server error", "bad gateway", "gateway timeout", "bad request", "service unavailable",
         "§http accès refusé", "§http access denied", "§http Zugriff verweigert", "§http acceso denegado", "interdit §http", "forbidden §http", "verboten §http", "prohibido §http",
@@ -46,7 +46,7 @@ EXEMPLARS: dict[str, tuple[str, ...]] = {
         "connexion à la base impossible délai dépassé", "could not connect to database timed out", "keine Verbindung zur Datenbank Zeitüberschreitung", "no hay conexión con la base tiempo agotado",
         "une erreur inattendue s'est produite réf", "an unexpected error has occurred ref", "ein unerwarteter Fehler ist aufgetreten ref", "se ha producido un error inesperado ref", "something went wrong on our side ref", "algo ha salido mal ref",
         "échec du chargement de", "loading failed", "failed to load", "could not load", "Laden von fehlgeschlagen", "fallo al cargar",
-        "impossible d'afficher la ressource", "unable to display resource", "Ressource kann nicht angezeigt werden", "no se puede mostrar el recurso",
+        "impossible d'afficher la ressource", "unable to display resource", "Ressource kann nicht angezeigt werden", "no se puede mostrar el recurso", "imposible mostrar el recurso",
         "requête rejetée par", "request turned down by", "Anfrage abgelehnt von", "Anfrage von abgewiesen", "petición rechazada por", "solicitud rechazada por",
         "document retiré", "document withdrawn", "document removed", "Dokument zurückgezogen", "Dokument entfernt", "documento retirado",
         "portail en maintenance jusqu'à h", "portal under maintenance until", "Portal in Wartung bis Uhr", "portal en mantenimiento hasta las", "site en maintenance", "site under maintenance", "down for maintenance",
