@@ -20,6 +20,8 @@ LISTS = 16
 PROBES = 13
 #: Rows of a list that one task takes on; longer lists are split.
 LIST_ROWS = 50_000
+#: Rows of a block of the self-join; each pair of blocks is a task.
+PAIR_ROWS = 8_192
 #: Least similarity of each category of a duplicate.
 CATEGORIES = ((0.98, "exact"), (0.95, "high"), (0.85, "borderline"))
 
@@ -148,6 +150,44 @@ def similarity_category(s: Column) -> Column:
     return out
 
 
+def all_near_pairs(vectors: DataFrame, threshold: float, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = PAIR_ROWS) -> DataFrame:
+    """(a, b, similarity): every unordered pair of rows at or above the threshold, however many a row has.
+
+    Equal vectors are compared once, as a class, and the pairs of classes go back to their members. The classes are cut into blocks by hash
+    and every two blocks, as every block with itself, meet in one task. Null vectors are left out; similarities have 6 digits. The output
+    grows with the square of a group's size, the comparisons with that of the number of classes.
+    """
+    kind = vectors.schema[id_col].dataType.simpleString()
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).filter("id is not null and v is not null")
+    classes = rows.groupBy("v").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("n"))
+    blocks = max(1, -(-rows.count() // block_rows))
+    own = classes.withColumn("own", F.pmod(F.xxhash64("class"), F.lit(blocks)))
+    meet = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    meet = meet.select("class", "v", "n", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def match(group: pd.DataFrame) -> pd.DataFrame:
+        i, j = group["i"].iloc[0], group["j"].iloc[0]
+        left, right = group[group["own"] == i], group[group["own"] == j]
+        a, b = _unit(left["v"]), _unit(right["v"])
+        a_ids, b_ids, copies = left["class"].to_numpy(), right["class"].to_numpy(), left["n"].to_numpy() > 1
+        out = []
+        for k in range(0, len(left) if len(right) else 0, 256):
+            sims = np.round(a[k : k + 256] @ b.T, 6)
+            hit = sims >= threshold
+            if i == j:  # each pair once; a class with itself where it has copies
+                at = np.arange(k, k + len(sims))
+                hit &= at[:, None] <= np.arange(len(b))[None, :]
+                hit[at - k, at] &= copies[at]
+            q, m = np.nonzero(hit)
+            out.append(pd.DataFrame({"class_a": a_ids[k + q], "class_b": b_ids[m], "similarity": sims[q, m]}))
+        return pd.concat(out) if out else pd.DataFrame({"class_a": [], "class_b": [], "similarity": []})
+
+    found = meet.groupBy("i", "j").applyInPandas(match, f"class_a {kind}, class_b {kind}, similarity double")
+    members = rows.join(classes.select("v", "class"), "v").select("class", "id")
+    a, b = members.select(F.col("class").alias("class_a"), F.col("id").alias("query_id")), members.select(F.col("class").alias("class_b"), F.col("id").alias("match_id"))
+    return near_pairs(found.join(a, "class_a").join(b, "class_b").filter("query_id <> match_id"), threshold)
+
+
 def near_pairs(matches: DataFrame, threshold: float) -> DataFrame:
     """Unordered pairs of matches at or above the threshold."""
     pairs = matches.filter(F.col("similarity") >= threshold).select(F.least("query_id", "match_id").alias("a"), F.greatest("query_id", "match_id").alias("b"), "similarity")

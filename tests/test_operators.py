@@ -138,6 +138,35 @@ def test_vectors_against_brute_force(spark):
     assert vectors.top_k(df, df.limit(0), 3).count() == 0
 
 
+def test_near_pairs_are_those_of_all_rows(spark):
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=(90, 8)).astype(np.float32)
+    m[30:60] = m[30]  # more copies than any k
+    m[60:64] = 0  # like nothing, not even each other
+    df = spark.createDataFrame([(i + 1, [float(x) for x in r]) for i, r in enumerate(m)] + [(999, None)], "vec_id long, embedding array<float>").repartition(4)
+    n = np.linalg.norm(m.astype(np.float64), axis=1, keepdims=True)
+    u = np.divide(m, n, out=np.zeros(m.shape), where=n > 0)
+    s = np.round(u @ u.T, 6)
+    expected = {(i + 1, j + 1) for i in range(90) for j in range(i + 1, 90) if s[i, j] >= 0.4}
+    for rows in (7, 8_192):
+        got = vectors.all_near_pairs(df, 0.4, block_rows=rows).collect()
+        assert {(r.a, r.b) for r in got} == expected and len(got) == len(expected)
+
+
+def test_near_duplicate_query_has_all_pairs(spark):
+    from helpers import DATA
+
+    from parchmill.plans.search import near_duplicate_pairs
+
+    rows = [r for r in spark.read.parquet(f"{DATA}/embeddings.parquet").collect() if r.embedding is not None]
+    u = np.array([r.embedding for r in rows], dtype=np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    s = np.round(u @ u.T, 6)
+    ids = [r.vec_id for r in rows]
+    expected = {(min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in zip(*np.nonzero(s >= 0.4)) if i < j}
+    assert expected and {(r.a, r.b) for r in near_duplicate_pairs(spark, DATA).collect()} == expected
+
+
 def test_index_recall(spark):
     from helpers import DATA
 
