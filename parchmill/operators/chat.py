@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .profile import running_total
 
 STALE_MINUTES = 5
 
@@ -64,12 +65,13 @@ def first_messages(messages: DataFrame, role: str, key: str = "conversation_id")
 def nested_messages(messages: DataFrame, retrieved: DataFrame, key: str = "conversation_id", most: int = 1_000) -> DataFrame:
     """Conversations with their messages, each with its retrieved chunks, as nested arrays in order of time and rank.
 
-    Arrays are for conversations of a size to be shown: those of more than `most` messages are left as rows by the caller and give none here.
+    An array holds at most `most` messages: a longer conversation comes as several rows, numbered by part from 0 in the order of its messages.
+    (created_at, message_id) must tell any two messages of a conversation apart.
     """
     chunks = retrieved.groupBy("message_id").agg(F.array_sort(F.collect_list(F.struct("rank", "retrieved_id", "titre", "source_file", "score"))).alias("chunks"))
-    sizes = messages.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") <= most).select(key)
-    m = messages.join(sizes, key).join(chunks, "message_id", "left")
-    return m.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("created_at", "message_id", "role", "content", "chunks"))).alias("messages"))
+    numbered = running_total(messages.select(key, "created_at", "message_id", "role", "content").withColumn("_1", F.lit(1)), [key], ["created_at", "message_id"], "_1", "_number")
+    m = numbered.withColumn("part", F.floor((F.col("_number") - 1) / most).cast("int")).join(chunks, "message_id", "left")
+    return m.groupBy(key, "part").agg(F.array_sort(F.collect_list(F.struct("created_at", "message_id", "role", "content", "chunks"))).alias("messages"))
 
 
 def page(df: DataFrame, order: Sequence[Column], number: int, size: int = 20, most: int = 100) -> DataFrame:

@@ -31,7 +31,9 @@ def conversation_nested(spark, d):
     n = chat.nested_messages(_messages(spark, d), _table(spark, d, "retrieved_chunks").dropDuplicates(["retrieved_id"]))
     ids = F.array_join(F.transform("messages", lambda m: m["message_id"]), ",")
     sources = F.aggregate("messages", F.lit(0), lambda s, m: s + F.coalesce(F.size(m["chunks"]), F.lit(0)))
-    return n.select("conversation_id", F.size("messages").alias("n"), ids.alias("message_ids"), sources.alias("n_sources"))
+    parts = n.select("conversation_id", "part", F.size("messages").alias("n"), ids.alias("ids"), sources.alias("n_sources"))
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("part", "ids"))), lambda p: p["ids"])
+    return parts.groupBy("conversation_id").agg(F.sum("n").alias("n"), F.array_join(in_order, ",").alias("message_ids"), F.sum("n_sources").alias("n_sources"))
 
 
 def first_user_message(spark, d):

@@ -193,6 +193,26 @@ def test_feedback_merge_and_checks(spark):
     assert chat.rating_distribution(df.limit(0)).count() == 5
 
 
+def test_long_conversations_stay_whole(spark, tmp_path):
+    from parchmill.plans.chats import conversation_nested
+
+    def stamp(c):
+        return F.timestamp_seconds(F.lit(1_735_700_000) + F.col(c))
+
+    m = spark.range(2_503).select(
+        F.when(F.col("id") < 2_500, "long").otherwise("short").alias("conversation_id"), F.format_string("m%05d", "id").alias("message_id"), stamp("id").alias("created_at"), F.lit("user").alias("role"), F.lit("x").alias("content"), stamp("id").alias("ingested_at")
+    )
+    m = m.withColumn("created_at", F.when(F.col("message_id") != "m02499", F.col("created_at")))
+    r = spark.range(3).select(F.col("id").cast("string").alias("retrieved_id"), F.lit("m01500").alias("message_id"), F.col("id").cast("int").alias("rank"), F.lit("t").alias("titre"), F.lit("f").alias("source_file"), F.lit(1.0).alias("score"))
+    m.repartition(3).write.parquet(f"{tmp_path}/chat_messages.parquet")
+    r.write.parquet(f"{tmp_path}/retrieved_chunks.parquet")
+    got = {x.conversation_id: x for x in conversation_nested(spark, str(tmp_path)).collect()}
+    assert got["long"].n == 2_500 and got["long"].n_sources == 3 and got["short"].n == 3
+    assert got["long"].message_ids == ",".join(["m02499", *[f"m{k:05d}" for k in range(2_499)]])
+    parts = chat.nested_messages(m, r).select("conversation_id", "part", F.size("messages").alias("n")).collect()
+    assert sorted((x.conversation_id, x.part, x.n) for x in parts) == [("long", 0, 1000), ("long", 1, 1000), ("long", 2, 500), ("short", 0, 3)]
+
+
 def test_chunk_entries(spark):
     long = " ".join(f"word{i} goes here." for i in range(300))
     df = spark.createDataFrame([(1, "short text with [IMAGE: a.png]"), (2, long), (3, None), (4, "  ")], "id int, t string")
