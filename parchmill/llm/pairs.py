@@ -26,8 +26,8 @@ from .neardup import near_duplicates
 from .pair_exemplars import BODIES, COURTESY, OPENERS, REFUSALS
 from .words import WORD, folded_words, has_word
 
-#: Clauses of an answer that count as its opening.
-OPENING_CLAUSES = 4
+#: Clauses of an answer that are clustered; those after them are known where they equal a clustered or labelled one.
+OPENING_CLAUSES = 6
 #: Words of a clause that says something.
 CLAUSE_WORDS = 3
 SIMILARITY = 0.8
@@ -157,18 +157,19 @@ class LanguageModel:
         return own != other and q[own] - q[other] >= LANGUAGE_MARGIN and a[other] - a[own] >= LANGUAGE_MARGIN
 
 
-def opening_clauses(pairs: DataFrame) -> DataFrame:
-    """(message_id, prompt, clause, clause_id, words): the first clauses of each answer; prompt is a hash of the question's clauses."""
+def answer_clauses(pairs: DataFrame) -> DataFrame:
+    """(message_id, prompt, clause, clause_id, words, named): the clauses of each answer, clause itself only for the first few; prompt is a
+    hash of the question's clauses, named says whether a name or code is in the clause."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for key, q, a in zip(batch["message_id"], batch["question"], batch["answer"], strict=True):
                 prompt = clause_id(" ".join(folded_words(q or "")))
-                rows += [(key, prompt, c, clause_id(c), c.count(" ") + 1) for c in clauses(a or "")[:OPENING_CLAUSES]]
-            yield pd.DataFrame(rows, columns=["message_id", "prompt", "clause", "clause_id", "words"])
+                rows += [(key, prompt, c if k < OPENING_CLAUSES else None, clause_id(c), c.count(" ") + 1, "@" in c or "#" in c) for k, c in enumerate(clauses(a or ""))]
+            yield pd.DataFrame(rows, columns=["message_id", "prompt", "clause", "clause_id", "words", "named"])
 
-    return pairs.select("message_id", "question", "answer").mapInPandas(run, "message_id string, prompt long, clause string, clause_id long, words int")
+    return pairs.select("message_id", "question", "answer").mapInPandas(run, "message_id string, prompt long, clause string, clause_id long, words int, named boolean")
 
 
 def _labelled(texts: tuple[str, ...]) -> set[str]:
@@ -181,10 +182,10 @@ def refusal_messages(pairs: DataFrame) -> DataFrame:
     courtesy = sorted(_labelled(COURTESY))
     joined = tuple(f"{opener} {body}" for lang, openers in OPENERS.items() for opener in openers for body in BODIES[lang])
     refusals = sorted(c for c in _labelled(REFUSALS + joined) - set(courtesy) if c.count(" ") + 1 >= CLAUSE_WORDS)
-    opened = cut_lineage(opening_clauses(pairs))
+    answered = cut_lineage(answer_clauses(pairs))
     seeds = spark.createDataFrame([(clause_id(c), c, True) for c in refusals], "clause_id long, clause string, seed boolean")
-    told = opened.filter(F.col("words") >= CLAUSE_WORDS).groupBy("clause_id").agg(F.first("clause").alias("clause"), F.countDistinct("prompt").alias("prompts"))
-    records = told.select("clause_id", "clause").unionByName(seeds.select("clause_id", "clause")).distinct()
+    told = answered.filter(F.col("words") >= CLAUSE_WORDS).groupBy("clause_id").agg(F.max("clause").alias("clause"), F.countDistinct("prompt").alias("prompts"))
+    records = told.select("clause_id", "clause").filter("clause is not null").unionByName(seeds.select("clause_id", "clause")).distinct()
     plain = records.withColumn("clause", F.regexp_replace(F.regexp_replace("clause", "@", "zzname"), "#", "zzcode"))
     # Clauses shorter than a shingle can only be equal.
     links, members = near_duplicates(plain, "clause_id", "clause", threshold=SIMILARITY, shingle=SHINGLE_WORDS, min_words=SHINGLE_WORDS, segments=4, spare=28)
@@ -194,14 +195,14 @@ def refusal_messages(pairs: DataFrame) -> DataFrame:
     labelled = members.join(near, "representative", "left_semi").select(F.col("id").alias("clause_id")).union(seeds.select("clause_id")).distinct()
     marks = (
         told.join(labelled.withColumn("refusal", F.lit(True)), "clause_id", "left")
-        .withColumn("courtesy", F.col("clause").isin(courtesy))
+        .withColumn("courtesy", F.col("clause_id").isin([clause_id(c) for c in courtesy]))
         .select("clause_id", "prompts", F.coalesce("refusal", F.lit(False)).alias("refusal"), "courtesy")
     )
     # Clauses with a name or code, or that recur little, say something. (Nouns count as names in German, so that there
     # templates are mostly known by the exemplars.)
-    known = cut_lineage(opened.join(marks, "clause_id", "left"))
+    known = cut_lineage(answered.join(marks, "clause_id", "left"))
     says = (F.col("words") >= CLAUSE_WORDS) & ~F.coalesce("refusal", F.lit(False)) & ~F.coalesce("courtesy", F.lit(False))
-    template = says & (F.col("prompts") >= RECURRING_PROMPTS) & ~F.col("clause").rlike("[#@]")
+    template = says & (F.col("prompts") >= RECURRING_PROMPTS) & ~F.col("named")
     by_message = known.groupBy("message_id").agg(
         F.sum(F.when(F.col("refusal"), F.col("words")).otherwise(0)).alias("declining"),
         F.sum(F.when(says & ~template, F.col("words")).otherwise(0)).alias("saying"),

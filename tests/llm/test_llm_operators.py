@@ -184,6 +184,19 @@ def test_defects(spark):
     assert pairs.defective_pairs(messages(spark, [])).count() == 0
 
 
+def test_refusals_are_weighed_over_the_whole_answer(spark):
+    lead = "Merci pour votre question. Bien sûr. D'après la documentation : Désolé pour l'attente."
+    answers = {
+        "late": f"{lead} Je ne peux malheureusement pas vous répondre.",
+        "later": f"{lead} Oui. Non. Je ne peux malheureusement pas vous répondre.",
+        "answered": "Je ne peux malheureusement pas vous répondre, non, ah, bon. Ouvrez le menu des taxes de la caisse. Cochez ensuite chaque ligne du tableau. Validez enfin le journal avant la clôture.",
+    }
+    rows = []
+    for i, (name, a) in enumerate(answers.items()):
+        rows += [(f"q{i}", f"c{i}", "user", f"Où se trouve donc la chose numéro {i * 17} dans la maison ?", at(1), at(1)), (name, f"c{i}", "assistant", a, at(2), at(2))]
+    assert {r.message_id: r.defect for r in pairs.defective_pairs(messages(spark, rows)).collect()} == {"late": "refusal", "later": "refusal"}
+
+
 def test_recurring_templates_reveal_refusals(spark):
     rows = []
     for i in range(12):
