@@ -40,20 +40,11 @@ SIGNS = "’‘“”„«»–—…€°·•§№¿¡ºª²³   ​﻿"
 
 _HOME = set(LOWER + UPPER + SIGNS)
 _MENDED = set(LOWER + UPPER + "’")
+#: Characters that a text is likely to have had where it now holds a sequence of characters at home.
+WANTED = [chr(c) for a, z in ((0xA0, 0x17F), (0x2010, 0x2044), (0x2190, 0x2193)) for c in range(a, z + 1)] + ["€", "™", "−", "≤", "≥", "✓", "\ufeff"]
 _SENTENCES = re.compile(r"(?<=\n)|(?<=[.!?…] )")
 _OUTSIDE = re.compile(r"[^\x00-\x7f]")
 
-#: What a text must hold to be looked at (also in Java's syntax): a character that isn't at home, a capital with an accent within or
-#: instead of a word, or a sign inside a word. Everything else is as good as any decoding of it.
-#: It begins with the character itself, so that plain text is passed over at one test a character.
-SUSPECT = (
-    rf"(?=[^\x00-\x7f])(?:[^{LOWER}{UPPER}{SIGNS}]|(?<=[a-z{LOWER}])[{UPPER}]|(?<![^\s])[{UPPER[1:]}ßæœ](?![^\s])|(?<=[a-z{LOWER}])[“”„–—…‘¡¿ºª²³°§·•«»€](?=[a-z{LOWER}])"
-    rf"|(?<=[{UPPER}])[«»¡¿°§²³·•ºª€“”„‘–—…]|(?<![^\s])[“”„–—…‘¡¿§·•«»](?= [a-z]))"
-)
-_SUSPECT = re.compile(SUSPECT)
-#: Replacement characters and controls that no text has on purpose.
-_LOST = re.compile("[\ufffd\x80-\x84\x86-\x9f]")
-
 
 @lru_cache(None)
 def _bytes_of(codec: str) -> dict[str, int]:
@@ -69,6 +60,36 @@ def _bytes_of(codec: str) -> dict[str, int]:
     return out
 
 
+def _read_as(codec: str, c: str) -> str | None:
+    """The character's UTF-8 bytes read in a codec, None where the codec lacks one of them."""
+    chars = {b: x for x, b in reversed(_bytes_of(codec).items())}
+    got = [chars.get(b) for b in c.encode("utf-8")]
+    return None if None in got else "".join(got)
+
+
+def _at_home() -> str:
+    """Pattern of the UTF-8 sequences that read wrongly as nothing but characters at home."""
+    tails: dict[str, set[str]] = {}
+    for wrong in {_read_as(codec, c) for codec in READ_AS for c in WANTED} - {None}:
+        if set(wrong) <= _HOME:
+            tails.setdefault(wrong[:-1], set()).add(wrong[-1])
+    return "|".join(f"{front}[{''.join(sorted(own))}]" for front, own in sorted(tails.items()))
+
+
+#: What a text must hold to be looked at (also in Java's syntax): a character that isn't at home, a capital with an accent within or
+#: instead of a word, a sign inside a word, or a sequence that UTF-8 gives. Everything else is as good as any decoding of it.
+#: It begins with the character itself, so that plain text is passed over at one test a character.
+SUSPECT = (
+    rf"(?=[^\x00-\x7f])(?:[^{LOWER}{UPPER}{SIGNS}]|(?<=[a-z{LOWER}])[{UPPER}]|(?<![^\s])[{UPPER[1:]}ßæœ](?![^\s])|(?<=[a-z{LOWER}])[“”„–—…‘¡¿ºª²³°§·•«»€](?=[a-z{LOWER}])"
+    rf"|(?<=[{UPPER}])[«»¡¿°§²³·•ºª€“”„‘–—…]|(?<![^\s])[“”„–—…‘¡¿§·•«»](?= [a-z])|{_at_home()})"
+)
+_SUSPECT = re.compile(SUSPECT)
+#: Replacement characters and controls that no text has on purpose.
+_LOST = re.compile("[\ufffd\x80-\x84\x86-\x9f]")
+#: A replacement character read wrongly itself; Russian letters alone may be a word.
+_LOST_READ = re.compile("|".join(sorted({w for codec in READ_AS if (w := _read_as(codec, "\ufffd")) and not re.fullmatch("[а-яА-Я]+", w)})))
+
+
 @lru_cache(None)
 def _sequences(codec: str) -> re.Pattern:
     """Characters that are a UTF-8 sequence read in this codec."""
@@ -195,7 +216,7 @@ def restore(text: str, languages: Languages) -> tuple[str, list[tuple]] | None:
 
     A text with replacement characters or C1 controls and nothing to undo comes back as it is, with the chain ("lost",).
     """
-    lost = ("lost",) if _LOST.search(text) else None
+    lost = ("lost",) if _LOST.search(text) or _LOST_READ.search(text) else None
     if not lost and not _SUSPECT.search(text):
         return None
     parts = _SENTENCES.split(text)
@@ -210,8 +231,9 @@ def restore(text: str, languages: Languages) -> tuple[str, list[tuple]] | None:
             for (gain, _, chain), (_, _, evidence) in zip(scored[-1], options, strict=True):
                 if evidence and gain > 0:
                     gains[chain] = gains.get(chain, 0) + gain
-        # A chain's cost is paid once: those that pay for it over the whole text are open to each sentence.
-        open_ = {chain for chain, gain in gains.items() if gain > STEP_COST * len(chain)}
+        # A chain's cost is paid once: those that pay for it over the whole text are open to each sentence. One sequence of two characters saves
+        # a byte, so that a chain of UTF-8 sequences need only come out even.
+        open_ = {chain for chain, gain in gains.items() if gain > STEP_COST * len(chain) - (chain[-1][1] == "utf_8")}
         out, used = [], {}
         for part, options in zip(parts, scored, strict=True):
             best = max(((gain, -len(chain), gains[chain], other, chain) for gain, other, chain in options if gain > 0 and chain in open_), default=None)

@@ -141,6 +141,26 @@ def test_wrong_decodings_are_undone(read_as, meant, times):
         assert restored == text, (wrong, restored, chain)
 
 
+@pytest.mark.parametrize("read_as", ["cp1252", "cp1250", "cp1254", "cp850", "cp852"])
+@pytest.mark.parametrize("c", "\u00a0–—‘’•")
+def test_one_sequence_is_enough(spark, read_as, c):
+    languages = encoding.Languages(encoding.train_dictionaries(samples()))
+    wrong = encoding._read_as(read_as, c)
+    texts = [t.replace("@", wrong) for t in ("Up to 100@% of the sum", "pages 10@20 of the book", "see [3]@ and (b)@c", "the rest @ and the others", '"so"@ it says')]
+    for text in texts if wrong else ():
+        found = encoding.restore(text, languages)
+        assert found and found[0] == text.replace(wrong, c), (text, found)
+    df = spark.createDataFrame([(t,) for t in texts if wrong], "text string")
+    assert df.filter(F.col("text").rlike(encoding.SUSPECT)).count() == df.count()
+
+
+@pytest.mark.parametrize("read_as", ["cp1252", "cp1250", "cp437", "cp850", "mac_roman", "cp1251"])
+def test_lost_characters_read_wrongly(read_as):
+    text = f"the num{encoding._read_as(read_as, chr(0xFFFD))}ro"
+    languages = encoding.Languages(encoding.train_dictionaries(samples()))
+    assert encoding.restore(text, languages) == (text, [("lost",)])
+
+
 def test_right_texts_stay(spark):
     languages = encoding.Languages(encoding.train_dictionaries(samples()))
     for text in ["", "plain", "Après l'été, à Noël", "SÃO PAULO, CORAÇÃO", "Šifra, Žeton, Úložiště", "Форма — склад; Σ ≤ Δ", "├── a\n│   └── b", "© ® ™ ± 5 µm, √9 ≈ 3 €", "&eacute; &#233;", "«Ça va ?»", "naïve Übergröße", "日本語"]:
