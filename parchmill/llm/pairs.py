@@ -32,9 +32,14 @@ OPENING_CLAUSES = 6
 CLAUSE_WORDS = 3
 SIMILARITY = 0.8
 SHINGLE_WORDS = 5
-#: Different prompts that make a clause a template, and the share of its answers that may say anything else.
+#: Different prompts that make a clause a template at least, the share of all prompts that they must be, and the share of its answers
+#: that may say anything else.
 RECURRING_PROMPTS = 8
+RECURRING_SHARE = 1e-4
 CONTENT_SHARE = 0.1
+#: Times that words stand within items at least, and the share of their places that may close one, for an end with them to be unfinished.
+WITHIN_ITEMS = 3
+CLOSING_SHARE = 0.02
 #: Likeness, by characters, of an answer to its question.
 COPY_RATIO = 0.84
 #: Log-odds that a text is in one language rather than another.
@@ -200,9 +205,10 @@ def refusal_messages(pairs: DataFrame) -> DataFrame:
     )
     # Clauses with a name or code, or that recur little, say something. (Nouns count as names in German, so that there
     # templates are mostly known by the exemplars.)
-    known = cut_lineage(answered.join(marks, "clause_id", "left"))
+    asked = answered.agg(F.countDistinct("prompt").alias("asked"))
+    known = cut_lineage(answered.join(marks, "clause_id", "left").crossJoin(F.broadcast(asked)))  # asked: one row
     says = (F.col("words") >= CLAUSE_WORDS) & ~F.coalesce("refusal", F.lit(False)) & ~F.coalesce("courtesy", F.lit(False))
-    template = says & (F.col("prompts") >= RECURRING_PROMPTS) & ~F.col("named")
+    template = says & (F.col("prompts") >= F.greatest(F.lit(RECURRING_PROMPTS), F.col("asked") * RECURRING_SHARE)) & ~F.col("named")
     by_message = known.groupBy("message_id").agg(
         F.sum(F.when(F.col("refusal"), F.col("words")).otherwise(0)).alias("declining"),
         F.sum(F.when(says & ~template, F.col("words")).otherwise(0)).alias("saying"),
@@ -223,7 +229,7 @@ def refusal_messages(pairs: DataFrame) -> DataFrame:
 
 
 def unfinished_endings(pairs: DataFrame) -> DataFrame:
-    """Closing words that, over all list items, stand within items (three times or more) and never close one."""
+    """Closing words that, over all list items, stand within items (three times or more) and hardly ever close one."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -234,7 +240,7 @@ def unfinished_endings(pairs: DataFrame) -> DataFrame:
 
     places = pairs.select("answer").filter("answer is not null").mapInPandas(run, "ending string, closes int, n long")
     sums = places.groupBy("ending").agg(F.sum(F.col("n") * F.col("closes")).alias("closing"), F.sum(F.col("n") * (1 - F.col("closes"))).alias("within"))
-    return sums.filter("closing = 0 and within >= 3").select("ending")
+    return sums.filter((F.col("within") >= WITHIN_ITEMS) & (F.col("closing") <= CLOSING_SHARE * (F.col("closing") + F.col("within")))).select("ending")
 
 
 def defective_pairs(messages: DataFrame, pages: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

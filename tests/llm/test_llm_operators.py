@@ -226,6 +226,25 @@ def test_recurring_templates_reveal_refusals(spark):
     assert got == {f"a{i}": "refusal" for i in range(10)}
 
 
+def test_counts_do_not_depend_on_size(spark, monkeypatch):
+    rows = []
+    for i in range(200):
+        a = "le vieil oracle se tait aujourd'hui sur toute chose de ce monde." if i < 10 else f"La valeur {i} se trouve dans le menu Zanlor."
+        rows += [(f"q{i}", f"c{i}", "user", f"Où se trouve donc la chose numéro {i * 17} dans la maison ?", at(1), at(1)), (f"a{i}", f"c{i}", "assistant", a, at(2), at(2))]
+    df = messages(spark, rows)
+    monkeypatch.setattr(pairs, "RECURRING_SHARE", 0.04)
+    assert pairs.defective_pairs(df).count() == 10
+    monkeypatch.setattr(pairs, "RECURRING_SHARE", 0.06)  # ten of 200 prompts are then too few
+    assert pairs.defective_pairs(df).count() == 0
+
+
+def test_one_closed_item_cancels_nothing(spark):
+    many = "\n".join(["- ouvrir le menu général du logiciel"] * 120) + "\n- fermer le menu\n- fin de la liste."
+    df = spark.createDataFrame([(many,), (None,)], "answer string")
+    got = {r.ending for r in pairs.unfinished_endings(df).collect()}
+    assert "le menu" in got and "du logiciel" not in got
+
+
 # Problem 5
 
 
