@@ -37,8 +37,8 @@ _HTML = re.compile(r"<(?:html|body)\b", re.IGNORECASE)
 _NAME = r"[A-Za-z]\w*(?:[._]\w+)*"
 #: An identifier between marks that fit each other, as template languages have them.
 _PLACEHOLDER = re.compile(
-    rf"\{{\{{[^{{}}\n]{{1,60}}\}}\}}|\$\{{[^{{}}\n]{{1,60}}\}}|\{{%[^{{}}\n]{{1,60}}%\}}|\{{{_NAME}\}}|\[\[\s*{_NAME}\s*\]\]|\[[a-z]\w*(?:[._]\w+)*\]|<<\s*{_NAME}\s*>>"
-    rf"|<%=?[^<>\n]{{1,60}}%>|<!--\s*{_NAME}\s*-->|<{_NAME}\s*/?>|%%?{_NAME}%%?|##?{_NAME}##?|~{_NAME}~|\$\$?{_NAME}\$\$?|@@?{_NAME}@@?|&{_NAME};|(?<!\w)__{_NAME[:-1]}?__(?!\w)"
+    rf"\{{\{{[^{{}}\n]+\}}\}}|\$\{{[^{{}}\n]+\}}|\{{%[^{{}}\n]+%\}}|\{{{_NAME}\}}|\[\[\s*{_NAME}\s*\]\]|\[[a-z]\w*(?:[._]\w+)*\]|<<\s*{_NAME}\s*>>"
+    rf"|<%=?[^<>\n]+%>|<[^\W\d_][\w'’-]*(?: [\w'’-]+){{1,5}}>|<!--\s*{_NAME}\s*-->|<{_NAME}\s*/?>|%%?{_NAME}%%?|##?{_NAME}##?|~{_NAME}~|\$\$?{_NAME}\$\$?|@@?{_NAME}@@?|&{_NAME};|(?<!\w)__{_NAME[:-1]}?__(?!\w)"
     .replace(f"__{_NAME[:-1]}?__", "__[A-Za-z][A-Za-z_]*?[A-Za-z]__")
 )
 #: Names between angle brackets or & and ; that are no placeholders.
@@ -62,7 +62,8 @@ def folded(text: str) -> str:
 def _is_placeholder(found: str) -> bool:
     name = found.strip("<>&;/! -")
     if found[0] == "<" and found[1:2] not in "<%!":
-        return name.lower() not in _MARKUP
+        first, _, rest = name.lower().partition(" ")
+        return first not in _MARKUP or bool(rest) and first == "a"
     if found[0] == "&":
         return name not in _ENTITIES
     if found[0] in "#@~$%" and name.strip("#@~$%").isdigit():
@@ -72,7 +73,8 @@ def _is_placeholder(found: str) -> bool:
 
 def placeholders(text: str) -> int:
     """Number of unfilled placeholders."""
-    return sum(_is_placeholder(m) for m in _PLACEHOLDER.findall(text))
+    # A few words between angle brackets are a blank to fill, unless a tag of their first word is closed.
+    return sum(_is_placeholder(m) and not (" " in m and m[0] == "<" and f"</{m[1:].split()[0]}" in text) for m in _PLACEHOLDER.findall(text))
 
 
 #: Code of each byte: 1 to 26 for a letter of either case, 0 for the rest.

@@ -392,3 +392,10 @@ def test_index_retrieves_whatever_is_contained():
         expected = {lab for lab, terms in index.exemplars if sum(index.weight[t] for t in terms & found) >= index.containment * sum(index.weight[t] for t in terms)}
         got = index.labels(found)
         assert got == expected or got == {"explanation"} and "explanation" in expected
+
+
+def test_placeholders_of_several_words_and_any_length():
+    for text in ("<name of the customer>", "<nom du client>", "<a short title>", "{{" + "field | default " * 8 + "}}", "${" + "x" * 90 + "}"):
+        assert residue.placeholders(f"Dear {text}, hello") == 1, text
+    for text in ("<br clear all>", "a < b and c > d", "<row x>1</row>", '<a href="x y">'):
+        assert residue.placeholders(text) == 0, text
