@@ -1,44 +1,42 @@
 """Labelled exemplars of residue, and of passages that look like it but explain something.
 
-Fixed values. A mark beginning with § stands for a form rather than a word (see residue.forms): §ph an unfilled
-placeholder, §blank an unfilled blank, §http a status number, §html the frame of a raw page, §frame a line of a
-fault trace, §rep one word over and over, §mash keyboard mashing.
+Fixed values. Names in template marks, numbers, codes, dotted names and blanks stand for any of their kind (see residue.tokens).
+No exemplar is a single word.
 """
 
 EXEMPLARS: dict[str, tuple[str, ...]] = {
     # Placeholders and blanks left as they are.
-    "placeholder": ("§ph", "§blank"),
+    "placeholder": ("{{customer_name}}", "[customer_name]", "${CUSTOMER_NAME}", "Name: ____"),
     # Notes that something is still to be written.
     "todo": (
         "contenu à venir", "content to follow", "Inhalt folgt", "contenido próximamente",
-        "à compléter", "to be completed", "noch zu ergänzen", "por completar", "TBD", "to be defined", "to be determined", "à définir", "por definir", "noch offen",
+        "à compléter", "to be completed", "noch zu ergänzen", "por completar", "[TBD]", "to be defined", "to be determined", "à définir", "por definir", "noch offen",
         "bitte ergänzen", "por rellenar", "Kurzfassung eingeben", "escriba el resumen", "saisir le texte", "enter text here", "Text eingeben", "escriba el texto",
-        "FIXME later", "FIXME", "TODO décrire l'écran", "TODO describe this screen", "TODO Maske beschreiben", "TODO describir la pantalla",
+        "FIXME later", "TODO décrire l'écran", "TODO describe this screen", "TODO Maske beschreiben", "TODO describir la pantalla",
         "insérer ici la description du module", "insert the module description here", "hier die Beschreibung einfügen", "insertar aquí la descripción",
         "saisir le résumé", "enter summary", "Zusammenfassung eingeben", "introducir el resumen",
         "texte à remplacer", "text to be replaced", "replace this text", "Text ersetzen", "texto por sustituir",
         "click to add title", "cliquez pour ajouter un titre", "Titel durch Klicken hinzufügen", "haga clic para agregar título",
-        "section under construction", "section en construction", "section en cours de rédaction", "Abschnitt im Aufbau", "sección en construcción",
-        "page en construction", "page under construction", "Seite im Aufbau", "página en construcción", "coming soon", "bientôt disponible", "demnächst verfügbar",
+        "under construction", "en construction", "en cours de rédaction", "im Aufbau", "en construcción", "coming soon", "bientôt disponible", "demnächst verfügbar",
         "à rédiger", "rédaction en cours", "to be written", "wird noch ergänzt", "pendiente de redactar",
     ),
     # Text without meaning.
     "filler": (
-        "§rep", "§mash", "lorem ipsum dolor sit amet consectetur adipiscing elit", "lorem ipsum dolor sit amet",
-        "votre texte ici", "your text here", "Ihr Text hier", "su texto aquí", "sample text", "texte d'exemple", "Beispieltext",
+        "lorem ipsum dolor sit amet consectetur adipiscing elit", "lorem ipsum dolor sit amet",
+        "votre texte ici", "your text here", "Ihr Text hier", "su texto aquí", "sample text", "texte d'exemple",
     ),
     # Messages of a server or program in place of a page.
     "error": (
-        "§html", "erreur §http la page demandée est introuvable", "la page demandée est introuvable", "error §http the requested page was not found", "the requested page could not be found",
+        "erreur 404 la page demandée est introuvable", "la page demandée est introuvable", "error 404 the requested page was not found", "the requested page could not be found",
         "page non trouvée", "page not found", "page not available", "page introuvable", "Seite nicht gefunden", "Seite nicht verfügbar", "página no encontrada", "página no disponible",
         "die angeforderte Seite wurde nicht gefunden", "Seite nicht vorhanden", "página inexistente", "die Seite wurde nicht gefunden", "la página solicitada no existe", "no se encuentra la página",
         "cette page n'existe plus ou a été déplacée", "this page is gone or has moved", "diese Seite gibt es nicht mehr oder sie wurde verschoben", "esta página ya no existe o se ha movido",
         "cette page n'existe plus", "this page no longer exists", "diese Seite existiert nicht mehr", "diese Seite gibt es nicht mehr", "esta página ya no existe",
         "le service est momentanément indisponible merci de réessayer dans minutes", "the service is currently down try again in minutes", "der Dienst ist zurzeit nicht erreichbar bitte in Minuten erneut versuchen", "el servicio no está disponible vuelva a intentarlo en minutos",
         "el servicio no está disponible inténtelo dentro de minutos", "service temporarily unavailable", "internal server error", "bad gateway", "gateway timeout", "bad request", "service unavailable",
-        "§http accès refusé", "§http access denied", "§http Zugriff verweigert", "§http acceso denegado", "interdit §http", "forbidden §http", "verboten §http", "prohibido §http",
+        "404 accès refusé", "404 access denied", "404 Zugriff verweigert", "404 acceso denegado", "interdit 404", "forbidden 404", "verboten 404", "prohibido 404",
         "vous n'avez pas les droits pour cette ressource", "you lack the rights for this resource", "Ihnen fehlen die Rechte", "no tiene permisos para este recurso",
-        "code retour §http", "status §http", "Rückgabewert §http", "código de retorno §http", "código §http", "Fehler §http", "Statuscode §http", "estado §http",
+        "code retour 404", "status 404", "Rückgabewert 404", "código de retorno 404", "código 404", "Fehler 404", "Statuscode 404", "estado 404",
         "lien périmé", "dead link", "toter Link", "veralteter Link", "enlace caducado", "enlace roto", "Link ungültig",
         "votre session a expiré", "your session has expired", "Ihre Sitzung ist abgelaufen", "su sesión ha caducado", "su sesión ha expirado", "reconnectez-vous", "log in again", "bitte neu anmelden", "melden Sie sich neu an", "vuelva a iniciar sesión", "inicie sesión de nuevo",
         "le serveur ne répond pas", "server does not respond", "Server antwortet nicht", "el servidor no responde",
@@ -51,9 +49,8 @@ EXEMPLARS: dict[str, tuple[str, ...]] = {
         "document retiré", "document withdrawn", "document removed", "Dokument zurückgezogen", "Dokument entfernt", "documento retirado",
         "portail en maintenance jusqu'à h", "portal under maintenance until", "Portal in Wartung bis Uhr", "portal en mantenimiento hasta las", "site en maintenance", "site under maintenance", "down for maintenance",
         "fatal fault", "fatal error", "erreur fatale", "schwerer Fehler", "error fatal", "fallo grave", "exception non gérée", "unhandled error", "unhandled exception", "unbehandelte Ausnahme", "excepción no controlada", "panne fatale",
-        "Oups", "Oops", "Hoppla", "Ups", "Vaya",
     ),
-    "trace": ("§frame",),
+    "trace": ("at com.acme.Loader(Loader.java:10)", "at com.acme.Loader.run(Loader.java:10)", 'File "/srv/app.py", line 10, in run', "Traceback (most recent call last)"),
     # Notices that scripts, cookies or another browser are required.
     "notice": (
         "JavaScript est désactivé", "JavaScript is switched off", "JavaScript is disabled", "JavaScript ist deaktiviert", "JavaScript está desactivado", "activez-le pour afficher cette page", "turn it on to see this page", "bitte einschalten um die Seite anzuzeigen", "actívelo para ver esta página",
@@ -68,7 +65,7 @@ EXEMPLARS: dict[str, tuple[str, ...]] = {
     ),
     # What goes with such messages: counts as covered, but is no evidence by itself.
     "frame": (
-        "accueil aide mon compte se déconnecter", "home help my account sign out", "start hilfe mein konto abmelden", "inicio ayuda mi cuenta salir", "©",
+        "accueil aide mon compte se déconnecter", "home help my account sign out", "start hilfe mein konto abmelden", "inicio ayuda mi cuenta salir",
         "réessayez plus tard", "please retry later", "bitte später noch einmal laden", "pruebe más tarde", "bitte später erneut versuchen", "revenir à l'accueil", "go back to the start page", "zurück zur Startseite", "volver al inicio", "volver a la página de inicio",
         "appuyez sur actualiser", "press refresh", "bitte aktualisieren", "pulse actualizar", "contactez l'assistance", "contact support", "wenden Sie sich an den Support", "contacte con el soporte",
         "transmettez le numéro à l'assistance", "pass number on to the help desk", "nennen Sie dem Support die Nummer", "indique el número al soporte",
@@ -76,18 +73,19 @@ EXEMPLARS: dict[str, tuple[str, ...]] = {
         "le délai de s est dépassé", "the limit of s was exceeded", "das Limit von s wurde überschritten", "se superó el límite de s", "incident en cours sur la passerelle", "gateway incident in progress", "Störung am Gateway", "incidencia en la pasarela",
         "l'objet a été supprimé", "the object was deleted", "das Objekt wurde entfernt", "el objeto fue eliminado", "le certificat n'est plus valable", "the certificate is no longer valid", "das Zertifikat ist nicht mehr gültig", "el certificado ya no es válido",
         "l'adresse est peut-être mal saisie", "the address may be mistyped", "die Adresse ist vielleicht falsch geschrieben", "la dirección puede estar mal escrita", "quizá la dirección esté mal escrita",
-        "chargement en cours", "loading", "wird geladen", "cargando",
+        "chargement en cours", "wird geladen",
     ),
     # Passages that explain placeholders, messages or settings.
     "explanation": (
-        "dans le modèle écrire §ph à l'endroit où doit figurer", "in template write §ph where should appear", "in der Vorlage steht §ph an der Stelle an der erscheinen soll", "en la plantilla escriba §ph donde deba aparecer",
-        "la balise §ph est remplacée à l'édition par la valeur du champ", "at print time the tag §ph is replaced with the value of field", "beim Druck wird die Marke §ph durch den Wert aus ersetzt", "al imprimir la marca §ph se sustituye por el valor de",
-        "le champ de fusion §ph reprend la valeur", "the placeholder §ph stands for the value", "der Platzhalter §ph steht für den Wert", "el marcador §ph representa el valor", "la variable §ph contient", "the variable §ph contains",
-        "le message erreur §http signale que manque", "the message error §http means that is missing", "die Meldung Fehler §http bedeutet dass fehlt", "el mensaje error §http indica que falta",
+        "dans le modèle écrire {{x}} à l'endroit où doit figurer", "in template write {{x}} where should appear", "in der Vorlage steht {{x}} an der Stelle an der erscheinen soll", "en la plantilla escriba {{x}} donde deba aparecer",
+        "la balise {{x}} est remplacée à l'édition par la valeur du champ", "at print time the tag {{x}} is replaced with the value of field", "beim Druck wird die Marke {{x}} durch den Wert aus ersetzt", "al imprimir la marca {{x}} se sustituye por el valor de",
+        "le champ de fusion {{x}} reprend la valeur", "the placeholder {{x}} stands for the value", "der Platzhalter {{x}} steht für den Wert", "el marcador {{x}} representa el valor", "la variable {{x}} contient", "the variable {{x}} contains",
+        "le message erreur 404 signale que manque", "the message error 404 means that is missing", "die Meldung Fehler 404 bedeutet dass fehlt", "el mensaje error 404 indica que falta",
         "le message accès refusé signale que", "if access denied appears", "die Meldung Zugriff verweigert bedeutet", "el mensaje acceso denegado indica", "si accès refusé apparaît",
         "avant d'ouvrir activer JavaScript dans le navigateur du poste", "before opening turn on JavaScript in the browser of station", "vor dem Öffnen von im Browser am Platz JavaScript einschalten", "antes de abrir active JavaScript en el navegador del puesto",
         "le texte d'exemple fourni avec peut être remplacé depuis", "the sample text shipped with can be replaced from", "der mit gelieferte Beispieltext lässt sich über ersetzen", "el texto de ejemplo incluido con se puede sustituir desde",
         "si accès refusé s'affiche dans ajoute le droit", "if access denied shows up in adds right", "erscheint Zugriff verweigert in vergibt das Recht", "si aparece acceso denegado en añade el permiso",
+        "see [note]", "voir [note]", "siehe [notiz]", "véase [nota]", "use ${HOME}", "utiliser ${HOME}", "verwenden ${HOME}", "usar ${HOME}",
         "quand la session expire enregistre avant de fermer", "when the session expires saves before closing", "läuft die Sitzung ab speichert", "cuando la sesión caduca guarda",
     ),
 }
