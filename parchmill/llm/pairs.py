@@ -1,9 +1,9 @@
 """Problem 4: defective question and answer pairs.
 
-Openings of answers are cut into clauses, names and numbers masked. Clauses are clustered by verified MinHash, together
-with labelled refusals. A cluster that holds a labelled refusal, or that recurs across unrelated prompts in
-answers with nothing else to say, is a refusal template. Copy, language and termination checks
-label what remains. One defect a message, the first of empty, copy, refusal, language, truncated that applies.
+Answers are cut into clauses, names and numbers masked. Each clause is clustered with labelled refusals by verified MinHash
+over runs of characters. A clause that recurs across unrelated prompts, in answers that say nothing else, is a refusal template
+whether or not it is like a labelled one. Copy, language and termination checks label what remains. One defect a
+message, the first of empty, copy, refusal, language, truncated that applies.
 """
 
 from __future__ import annotations
@@ -11,9 +11,11 @@ from __future__ import annotations
 import difflib
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
@@ -22,16 +24,19 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .conversations import answer_pairs, latest_messages
 from .encoding import language_samples
-from .neardup import near_duplicates
-from .pair_exemplars import BODIES, COURTESY, OPENERS, REFUSALS
+from .neardup import _constants, fingerprint, probe_keys
+from .pair_exemplars import COURTESY, REFUSALS
 from .words import WORD, folded_words, has_word
 
-#: Clauses of an answer that are clustered; those after them are known where they equal a clustered or labelled one.
-OPENING_CLAUSES = 6
 #: Words of a clause that says something.
 CLAUSE_WORDS = 3
-SIMILARITY = 0.8
-SHINGLE_WORDS = 5
+#: Likeness, by runs of so many characters, of a clause to a labelled refusal.
+SIMILARITY = 0.5
+RUN_CHARS = 4
+#: Fingerprint of a clause: a pair at the least likeness is a candidate with probability 0.989.
+SEGMENTS, SEGMENT_SYMBOLS = 12, 4
+#: Templates that are sent along with a join; more of them are joined by shuffle.
+BROADCAST_TEMPLATES = 200_000
 #: Different prompts that make a clause a template at least, the share of all prompts that they must be, and the share of its answers
 #: that may say anything else.
 RECURRING_PROMPTS = 8
@@ -130,6 +135,8 @@ def is_copy(question: str, answer: str) -> bool:
     """The answer gives back the question, once or twice, perhaps cut, labelled or in other spelling."""
     q = "".join(folded_words(question))
     a = "".join(folded_words(_LABEL.sub("", answer.strip().lstrip("> "))))
+    if q and a in (q, q + q):
+        return True
     if len(q) < 8 or not a or len(a) > 2.3 * len(q) + 12 or len(a) < 0.55 * len(q):
         return False
     if a in q or a in q + q:
@@ -162,70 +169,96 @@ class LanguageModel:
         return own != other and q[own] - q[other] >= LANGUAGE_MARGIN and a[other] - a[own] >= LANGUAGE_MARGIN
 
 
-def answer_clauses(pairs: DataFrame) -> DataFrame:
-    """(message_id, prompt, clause, clause_id, words, named): the clauses of each answer, clause itself only for the first few; prompt is a
-    hash of the question's clauses, named says whether a name or code is in the clause."""
+def clause_runs(clause: str) -> np.ndarray:
+    """Distinct hashes of a clause's runs of characters; names and codes are one mark."""
+    t = f" {re.sub(r'(?:[@#] ?)+', '@ ', clause).strip()} "
+    return np.unique(np.array([xxhash.xxh3_64_intdigest(t[i : i + RUN_CHARS]) for i in range(max(len(t) - RUN_CHARS + 1, 1))], dtype=np.uint64))
+
+
+class Refusals:
+    """Labelled refusals under the table entries of their fingerprints."""
+
+    def __init__(self, texts: tuple[str, ...], courtesy: tuple[str, ...]):
+        self.courtesy = _labelled(courtesy)
+        self.openings: dict[str, list[str]] = defaultdict(list)
+        for c in sorted(self.courtesy, key=lambda c: (-len(c), c)):
+            self.openings[c.split(" ", 1)[0]].append(c + " ")
+        self.runs = [clause_runs(c) for c in sorted({self.stripped(c) for c in _labelled(texts)} - self.courtesy) if c.count(" ") + 1 >= CLAUSE_WORDS]
+        self.constants = _constants(SEGMENTS * SEGMENT_SYMBOLS)
+        self.table: dict[int, list[int]] = defaultdict(list)
+        for k, runs in enumerate(self.runs):
+            for key in self._keys(runs):
+                self.table[key].append(k)
+        self.declines = lru_cache(100_000)(self._declines)
+
+    def _keys(self, runs: np.ndarray) -> list[int]:
+        return probe_keys(fingerprint(runs, *self.constants)[None, :], SEGMENTS, SEGMENT_SYMBOLS)[0].tolist()
+
+    def stripped(self, clause: str) -> str:
+        """The clause without a courtesy that it begins with, where enough is left."""
+        for opening in self.openings.get(clause.split(" ", 1)[0], ()):
+            if clause.startswith(opening) and clause.count(" ", len(opening)) + 1 >= CLAUSE_WORDS:
+                return clause[len(opening) :]
+        return clause
+
+    def _declines(self, clause: str) -> bool:
+        """The clause is like a labelled refusal: candidates by shared entries, verified by complete similarity."""
+        runs = clause_runs(clause)
+        for k in {k for key in self._keys(runs) if key in self.table for k in self.table[key]}:
+            both = len(np.intersect1d(runs, self.runs[k], assume_unique=True))
+            if both >= SIMILARITY * (len(runs) + len(self.runs[k]) - both):
+                return True
+        return False
+
+
+def answer_clauses(pairs: DataFrame, refusals: tuple[str, ...] = REFUSALS, courtesy: tuple[str, ...] = COURTESY) -> DataFrame:
+    """(message_id, prompt, clause_id, words, declines): the clauses of each answer but courtesies and those of too few words; prompt is a hash
+    of the question's words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = Refusals(refusals, courtesy)
         for batch in batches:
             rows = []
             for key, q, a in zip(batch["message_id"], batch["question"], batch["answer"], strict=True):
                 prompt = clause_id(" ".join(folded_words(q or "")))
-                rows += [(key, prompt, c if k < OPENING_CLAUSES else None, clause_id(c), c.count(" ") + 1, "@" in c or "#" in c) for k, c in enumerate(clauses(a or ""))]
-            yield pd.DataFrame(rows, columns=["message_id", "prompt", "clause", "clause_id", "words", "named"])
+                for c in map(known.stripped, clauses(a or "")):
+                    n = c.count(" ") + 1
+                    if n >= CLAUSE_WORDS and c not in known.courtesy:
+                        rows.append((key, prompt, clause_id(c), n, known.declines(c)))
+            yield pd.DataFrame(rows, columns=["message_id", "prompt", "clause_id", "words", "declines"])
 
-    return pairs.select("message_id", "question", "answer").mapInPandas(run, "message_id string, prompt long, clause string, clause_id long, words int, named boolean")
+    return pairs.select("message_id", "question", "answer").mapInPandas(run, "message_id string, prompt long, clause_id long, words int, declines boolean")
 
 
 def _labelled(texts: tuple[str, ...]) -> set[str]:
     return {c for t in texts for x in ("Zanelor", "ABC_123") for c in clauses(re.sub(r"\bX\b", x, t))}
 
 
-def refusal_messages(pairs: DataFrame) -> DataFrame:
-    """message_id of the answers that decline."""
-    spark = pairs.sparkSession
-    courtesy = sorted(_labelled(COURTESY))
-    joined = tuple(f"{opener} {body}" for lang, openers in OPENERS.items() for opener in openers for body in BODIES[lang])
-    refusals = sorted(c for c in _labelled(REFUSALS + joined) - set(courtesy) if c.count(" ") + 1 >= CLAUSE_WORDS)
-    answered = cut_lineage(answer_clauses(pairs))
-    seeds = spark.createDataFrame([(clause_id(c), c, True) for c in refusals], "clause_id long, clause string, seed boolean")
-    told = answered.filter(F.col("words") >= CLAUSE_WORDS).groupBy("clause_id").agg(F.max("clause").alias("clause"), F.countDistinct("prompt").alias("prompts"))
-    records = told.select("clause_id", "clause").filter("clause is not null").unionByName(seeds.select("clause_id", "clause")).distinct()
-    plain = records.withColumn("clause", F.regexp_replace(F.regexp_replace("clause", "@", "zzname"), "#", "zzcode"))
-    # Clauses shorter than a shingle can only be equal.
-    links, members = near_duplicates(plain, "clause_id", "clause", threshold=SIMILARITY, shingle=SHINGLE_WORDS, min_words=SHINGLE_WORDS, segments=4, spare=28)
-    seed_classes = members.join(seeds.select(F.col("clause_id").alias("id")), "id", "left_semi").select("representative").distinct()
-    a = links.select(F.col("a").alias("representative"), F.col("b").alias("near")).unionByName(links.select(F.col("b").alias("representative"), F.col("a").alias("near")))
-    near = a.join(seed_classes, "representative").select(F.col("near").alias("representative")).union(seed_classes).distinct()
-    labelled = members.join(near, "representative", "left_semi").select(F.col("id").alias("clause_id")).union(seeds.select("clause_id")).distinct()
-    marks = (
-        told.join(labelled.withColumn("refusal", F.lit(True)), "clause_id", "left")
-        .withColumn("courtesy", F.col("clause_id").isin([clause_id(c) for c in courtesy]))
-        .select("clause_id", "prompts", F.coalesce("refusal", F.lit(False)).alias("refusal"), "courtesy")
+def refusal_messages(pairs: DataFrame, refusals: tuple[str, ...] = REFUSALS, courtesy: tuple[str, ...] = COURTESY) -> DataFrame:
+    """message_id of the answers that decline: what is like a labelled refusal outweighs what is said, or nothing is said but templates, and one of
+    these hardly ever goes with anything said."""
+    told = cut_lineage(answer_clauses(pairs, refusals, courtesy))
+    asked = told.agg(F.countDistinct("prompt").alias("asked"))  # one row
+    counted = told.filter("not declines").groupBy("clause_id").agg(F.countDistinct("prompt").alias("prompts"))
+    templates = cut_lineage(
+        counted.filter(F.col("prompts") >= RECURRING_PROMPTS).crossJoin(F.broadcast(asked)).filter(F.col("prompts") >= F.col("asked") * RECURRING_SHARE)
+        .select("clause_id", F.lit(True).alias("template"))
     )
-    # Clauses with a name or code, or that recur little, say something. (Nouns count as names in German, so that there
-    # templates are mostly known by the exemplars.)
-    asked = answered.agg(F.countDistinct("prompt").alias("asked"))
-    known = cut_lineage(answered.join(marks, "clause_id", "left").crossJoin(F.broadcast(asked)))  # asked: one row
-    says = (F.col("words") >= CLAUSE_WORDS) & ~F.coalesce("refusal", F.lit(False)) & ~F.coalesce("courtesy", F.lit(False))
-    template = says & (F.col("prompts") >= F.greatest(F.lit(RECURRING_PROMPTS), F.col("asked") * RECURRING_SHARE)) & ~F.col("named")
-    by_message = known.groupBy("message_id").agg(
-        F.sum(F.when(F.col("refusal"), F.col("words")).otherwise(0)).alias("declining"),
-        F.sum(F.when(says & ~template, F.col("words")).otherwise(0)).alias("saying"),
-        F.sum(F.when(template, F.col("words")).otherwise(0)).alias("template"),
-    )
-    # Templates whose answers hardly ever say anything else reveal refusals that no exemplar names.
-    bare = (
-        known.filter(template).select("message_id", "clause_id").join(by_message.select("message_id", "saying"), "message_id")
-        .groupBy("clause_id").agg(F.avg((F.col("saying") > 0).cast("int")).alias("share"))
-        .filter(F.col("share") <= CONTENT_SHARE).select("clause_id")
-    )
-    revealed = known.join(bare, "clause_id", "left_semi").select("message_id").distinct().withColumn("revealed", F.lit(True))
-    return (
-        by_message.join(revealed, "message_id", "left")
-        .filter((F.col("declining") >= F.greatest(F.lit(1), F.col("saying"))) | (F.coalesce("revealed", F.lit(False)) & (F.col("saying") == 0)))
-        .select("message_id")
+    small = F.broadcast if templates.count() <= BROADCAST_TEMPLATES else (lambda x: x)
+    known = told.join(small(templates), "clause_id", "left").withColumn("template", F.coalesce("template", F.lit(False)))
+    words = F.col("words")
+    by_message = cut_lineage(
+        known.groupBy("message_id").agg(
+            F.sum(F.when(F.col("declines"), words).otherwise(0)).alias("declining"), F.sum(F.when(F.col("declines") | F.col("template"), 0).otherwise(words)).alias("saying"),
+            F.bool_or("template").alias("templated"),
+        )
     )
+    # Templates whose answers hardly ever say anything else reveal refusals that no exemplar names.
+    recurring = known.filter("template").select("message_id", "clause_id").join(by_message.filter("templated").select("message_id", "saying"), "message_id")
+    bare = recurring.groupBy("clause_id").agg(F.avg((F.col("saying") > 0).cast("int")).alias("share")).filter(F.col("share") <= CONTENT_SHARE).select("clause_id")
+    revealed = recurring.filter("saying = 0").join(small(bare), "clause_id", "left_semi").select("message_id")
+    declined = by_message.filter(F.col("declining") >= F.greatest(F.lit(1), F.col("saying"))).select("message_id")
+    return declined.union(revealed).distinct()
 
 
 def unfinished_endings(pairs: DataFrame) -> DataFrame:
@@ -251,10 +284,9 @@ def defective_pairs(messages: DataFrame, pages: DataFrame | None = None, id_col:
     conversation is unknown (no time) are no pair.
     """
     pairs = cut_lineage(answer_pairs(latest_messages(messages)))
-    samples = language_samples(pages, id_col, text_col, lang_col) if pages is not None else {}
+    model = LanguageModel(language_samples(pages, id_col, text_col, lang_col) if pages is not None else {})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = LanguageModel(samples)
         for batch in batches:
             rows = []
             for key, q, a in zip(batch["message_id"], batch["question"], batch["answer"], strict=True):

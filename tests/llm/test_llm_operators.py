@@ -238,6 +238,26 @@ def test_counts_do_not_depend_on_size(spark, monkeypatch):
     assert pairs.defective_pairs(df).count() == 0
 
 
+def test_short_questions_can_be_copied():
+    assert pairs.is_copy("Combien ?", "combien?") and pairs.is_copy("Quoi", "Quoi ? Quoi ?") and not pairs.is_copy("Combien ?", "Dix.") and not pairs.is_copy("?", "?")
+
+
+def test_clauses_like_a_labelled_one():
+    known = pairs.Refusals(("I would rather not comment on that.", "kann ich Ihre Anfrage zu X nicht bearbeiten."), ("Leider", "Thank you."))
+    for text, expected in (("I'd rather not comment on it.", True), ("Leider kann ich Ihre Anfrage zu ABC_12 nicht bearbeiten.", True), ("Please comment the line of the ledger.", False), ("Thank you.", False)):
+        got = [known.declines(known.stripped(c)) for c in pairs.clauses(text)]
+        assert any(got) == expected, text
+
+
+def test_templates_with_names_are_revealed_without_exemplars(spark):
+    rows = []
+    for i in range(30):
+        a = f"Le vieil oracle se tait sur {'Zanlor Mirvel Dorbel'.split()[i % 3]}." if i < 10 else f"Le menu {i} du module numéro {i * 7} {'abcdefghijklmnopqrstuvwxyz'[i % 26] * 5} ouvre la liste."
+        rows += [(f"q{i}", f"c{i}", "user", f"Où se trouve {'abcdefghijklmnopqrstuvwxyz'[i % 26] * 4} dans la maison {'klm'[i % 3]} ?", at(1), at(1)), (f"a{i}", f"c{i}", "assistant", a, at(2), at(2))]
+    told = conversations.answer_pairs(conversations.latest_messages(messages(spark, rows)))
+    assert {r.message_id for r in pairs.refusal_messages(told, refusals=()).collect()} == {f"a{i}" for i in range(10)}
+
+
 def test_one_closed_item_cancels_nothing(spark):
     many = "\n".join(["- ouvrir le menu général du logiciel"] * 120) + "\n- fermer le menu\n- fin de la liste."
     df = spark.createDataFrame([(many,), (None,)], "answer string")
