@@ -7,12 +7,12 @@ REFUSALS = (
     "Aucune aide n'est possible de ma part pour X.", "Je ne peux malheureusement pas vous répondre.",
     "I'm sorry, but I can't help with that request.", "I am not in a position to deal with your request about X.", "I have to refrain from answering about X.", "I won't follow up on this question.", "I may not explain that.",
     "I must decline: X is outside my scope.", "As an assistant I am not allowed to deal with this question.", "That is beyond what I can do, sorry.", "No answer can be given to this by me.", "I would rather not comment on that.", "I have no access to this information and cannot answer.",
-    "I prefer not to give an opinion.",
+    "I prefer not to give an opinion.", "No help is possible from my side for X.",
     "Es tut mir leid, dabei kann ich nicht helfen.", "Dazu möchte ich mich nicht äußern.", "Das muss ich ablehnen: X gehört nicht zu meinem Bereich.",
     "Als Assistent darf ich diese Frage nicht behandeln.", "Diese Anfrage übersteigt meine Möglichkeiten.", "Darauf kann von meiner Seite keine Antwort gegeben werden.", "Mir liegen diese Informationen nicht vor, daher kann ich nicht antworten.", "Leider gehe ich auf diese Frage nicht ein.", "Leider ist es mir nicht möglich, darauf zu antworten.",
     "Lo siento, no puedo ayudar con esa petición.", "Lamentablemente, no se me permite explicarlo.", "Por desgracia me resulta imposible responder.", "Debo declinar: X queda fuera de mi ámbito.", "Prefiero no pronunciarme.", "No tengo acceso a esa información y no sabría responder.",
     "darf ich das nicht erläutern.", "kann ich Ihre Anfrage zu X nicht bearbeiten.", "muss ich auf eine Antwort zu X verzichten.", "ist mir keine Hilfe zu X möglich.", "kann ich dazu nichts sagen.", "me resulta imposible responder.",
-    "Como asistente no estoy autorizado a tratar esta pregunta.", "Esa petición excede lo que puedo hacer.", "No puedo atender su solicitud sobre X.", "Debo abstenerme de responder acerca de X.", "No estoy en condiciones de atender su solicitud sobre X.", "No voy a responder a esta pregunta.", "No me es posible ayudarle con X.", "No daré curso a esta pregunta.", "Esta pregunta no puede recibir respuesta por mi parte.", "Por mi parte no es posible ninguna ayuda para X.",
+    "Como asistente no estoy autorizado a tratar esta pregunta.", "Esa petición excede lo que puedo hacer.", "No puedo atender su solicitud sobre X.", "Debo abstenerme de responder acerca de X.", "No estoy en condiciones de atender su solicitud sobre X.", "No voy a responder a esta pregunta.", "No me es posible ayudarle con X.", "No daré curso a esta pregunta.", "Esta pregunta no puede recibir respuesta por mi parte.", "Por mi parte no es posible ninguna ayuda para X.", "No hay ayuda posible por mi parte para X.", "Debo abstenerme de contestar sobre X.",
 )
 
 #: What goes with an answer of any kind.

@@ -51,8 +51,7 @@ COPY_RATIO = 0.84
 LANGUAGE_MARGIN = 4.0
 
 _CLAUSE = re.compile(r"[.!?;:,…]+(?=\s|$)|\n+|\s[–—-]\s|[«»\"“”]")
-_CODE = re.compile(r"\b[A-Z]{2,5}_?\d+\b|\b\d+(?:[.,]\d+)*\b")
-_NAME = re.compile(r"(?<!^)(?<![.!?] )\b[^\W\d_a-zà-ÿ][^\W\d_]+")
+_VALUE = re.compile(r"(?P<code>\b[A-Z]{2,5}_?\d+\b|\b\d+(?:[.,]\d+)*\b)|(?<!^)(?<![.!?] )\b[^\W\d_a-zà-ÿ][^\W\d_]+")
 _GREETING = re.compile(r"^\s*(?:bonjour|hello|hi|guten tag|hallo|hola|buenos días)\s*,\s*", re.IGNORECASE)
 _ITEM = re.compile(r"^\s*(?:[-*•]|\d+[.)])\s+(\S.*)$")
 _PATH = re.compile(r"(?:^|\s)(?:[A-Za-z]:\\|/)\S*\.\w{1,5}$")
@@ -62,18 +61,30 @@ _LABEL = re.compile(r"^\W*(?:a|q|r|answer|question|réponse|frage|antwort|pregun
 _QUOTED = re.compile(r"«[^»]*»|\"[^\"\n]*\"|“[^”]*”|„[^“”]*[“”]|```.*?(?:```|$)|(?:[A-Za-z]:\\|/)\S+", re.DOTALL)
 
 
-def clauses(text: str) -> list[str]:
-    """Clauses in lower case without accents; names are @, numbers and codes #."""
+def valued_clauses(text: str) -> list[tuple[str, list[str]]]:
+    """Clauses in lower case without accents, in which names are @, numbers and codes #; and what the marks stand for."""
     out = []
     for sentence in re.split(r"(?<=[.!?…])\s+|\n+", _GREETING.sub("", text)):
-        masked = _NAME.sub(" zzname ", _CODE.sub(" zzcode ", sentence))
-        for part in _CLAUSE.split(masked):
+        values: list[str] = []
+
+        def mask(m: re.Match) -> str:
+            values.append(" ".join(folded_words(m.group())))  # noqa: B023
+            return " zzcode " if m.lastgroup == "code" else " zzname "
+
+        at = 0
+        for part in _CLAUSE.split(_VALUE.sub(mask, sentence)):
             words = ["@" if w == "zzname" else "#" if w == "zzcode" else w for w in folded_words(part)]
+            marks = sum(w in "@#" for w in words)
             if words:
-                out.append(" ".join(words))
+                out.append((" ".join(words), values[at : at + marks]))
+            at += marks
     return out
 
 
+def clauses(text: str) -> list[str]:
+    return [c for c, _ in valued_clauses(text)]
+
+
 def _plain(clause: str) -> str:
     """For the fingerprints, whose words are letters and digits."""
     return clause.replace("@", "zzname").replace("#", "zzcode")
@@ -212,19 +223,25 @@ class Refusals:
 
 
 def answer_clauses(pairs: DataFrame, refusals: tuple[str, ...] = REFUSALS, courtesy: tuple[str, ...] = COURTESY) -> DataFrame:
-    """(message_id, prompt, clause_id, words, declines): the clauses of each answer but courtesies and those of too few words; prompt is a hash
-    of the question's words."""
+    """(message_id, prompt, clause_id, words, declines): the clauses of each answer but courtesies and those of too few words.
+
+    prompt is a hash of the question's words, clause_id one of the clause in which only names and codes that the question holds are masked: a template
+    gives back what it was asked for, an answer says something else each time.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Refusals(refusals, courtesy)
         for batch in batches:
             rows = []
             for key, q, a in zip(batch["message_id"], batch["question"], batch["answer"], strict=True):
-                prompt = clause_id(" ".join(folded_words(q or "")))
-                for c in map(known.stripped, clauses(a or "")):
+                asked = folded_words(q or "")
+                prompt, given = clause_id(" ".join(asked)), f" {' '.join(asked)} "
+                for c, values in valued_clauses(a or ""):
+                    c = known.stripped(c)
                     n = c.count(" ") + 1
                     if n >= CLAUSE_WORDS and c not in known.courtesy:
-                        rows.append((key, prompt, clause_id(c), n, known.declines(c)))
+                        own = [v for v in values if f" {v} " not in given]
+                        rows.append((key, prompt, clause_id(" ".join([c, *own])), n, known.declines(c)))
             yield pd.DataFrame(rows, columns=["message_id", "prompt", "clause_id", "words", "declines"])
 
     return pairs.select("message_id", "question", "answer").mapInPandas(run, "message_id string, prompt long, clause_id long, words int, declines boolean")

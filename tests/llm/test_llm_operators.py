@@ -253,7 +253,7 @@ def test_templates_with_names_are_revealed_without_exemplars(spark):
     rows = []
     for i in range(30):
         a = f"Le vieil oracle se tait sur {'Zanlor Mirvel Dorbel'.split()[i % 3]}." if i < 10 else f"Le menu {i} du module numéro {i * 7} {'abcdefghijklmnopqrstuvwxyz'[i % 26] * 5} ouvre la liste."
-        rows += [(f"q{i}", f"c{i}", "user", f"Où se trouve {'abcdefghijklmnopqrstuvwxyz'[i % 26] * 4} dans la maison {'klm'[i % 3]} ?", at(1), at(1)), (f"a{i}", f"c{i}", "assistant", a, at(2), at(2))]
+        rows += [(f"q{i}", f"c{i}", "user", f"Où se trouve {'abcdefghijklmnopqrstuvwxyz'[i % 26] * 4} dans la maison {'Zanlor Mirvel Dorbel'.split()[i % 3]} ?", at(1), at(1)), (f"a{i}", f"c{i}", "assistant", a, at(2), at(2))]
     told = conversations.answer_pairs(conversations.latest_messages(messages(spark, rows)))
     assert {r.message_id for r in pairs.refusal_messages(told, refusals=()).collect()} == {f"a{i}" for i in range(10)}
 
