@@ -367,13 +367,38 @@ def test_myers_equals_dynamic_programming(pattern, text):
     assert leakage.myers_distance(pattern, text) == brute_distance(pattern, text)
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.sampled_from("abcdefgh"), max_size=40), st.lists(st.sampled_from("abcdefgh"), max_size=60))
-def test_matcher_equals_brute_force(item, text):
-    run = 6
-    grams = {tuple(item[i : i + run]) for i in range(len(item) - run + 1)}
-    expected = any(tuple(text[i : i + run]) in grams for i in range(len(text) - run + 1))
-    assert bool(leakage.Matcher([(1, " ".join(item))], run).find(", ".join(text).upper())) == expected
+def test_leaks_equal_brute_force(spark):
+    """Every document with every item: edited within the budget, or with a run in common."""
+    rnd, run = random.Random(11), 6
+    items = [[rnd.choice("abcdefgh") for _ in range(rnd.randrange(0, 40))] for _ in range(25)]
+    docs = [[rnd.choice("abcdefgh") for _ in range(rnd.randrange(0, 60))] for _ in range(60)]
+    for i in range(60):  # copies with errors
+        copy = list(items[i % 25])
+        for _ in range(rnd.randrange(0, 12)):
+            if copy:
+                copy[rnd.randrange(len(copy))] = rnd.choice("abcdefghxyz")
+        docs.append(["q"] * rnd.randrange(5) + copy + ["r"] * rnd.randrange(5))
+    expected = set()
+    for i, item in enumerate(items):
+        grams = {tuple(item[k : k + run]) for k in range(len(item) - run + 1)}
+        for d, doc in enumerate(docs):
+            if len(item) >= run and (brute_distance(item, doc) <= leakage.error_budget(len(item), run) or any(tuple(doc[k : k + run]) in grams for k in range(len(doc) - run + 1))):
+                expected.add((d, i))
+    di = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id int, text string")
+    dd = spark.createDataFrame([(i, ", ".join(x).upper()) for i, x in enumerate(docs)], "doc_id int, text string")
+    for power in (10, 24):  # a small bitmap has false hits, which the join leaves out
+        got = {(r.doc_id, r.item_id) for r in leakage.find_leaks(dd, "doc_id", "text", di, "item_id", "text", run, power).collect()}
+        assert got == expected and len(expected) > 40
+
+
+def test_edited_passages_are_leaks(spark):
+    words = [f"w{i}" for i in range(40)]
+    edited = [w if i % 9 != 8 else "other" for i, w in enumerate(words)]  # no twelve words in a row are left
+    gone = [w if i % 5 != 4 else "other" for i, w in enumerate(words)]
+    docs = spark.createDataFrame([(1, "so " + " ".join(edited) + " it is"), (2, " ".join(gone))], "doc_id int, text string")
+    items = spark.createDataFrame([(7, " ".join(words))], "item_id int, text string")
+    got = leakage.find_leaks(docs, "doc_id", "text", items, "item_id", "text").collect()
+    assert [(r.doc_id, r.distance, r.within_budget, r.longest_run >= 12) for r in got] == [(1, 4, True, False)]
 
 
 def test_leaks(spark):
