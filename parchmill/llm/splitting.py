@@ -2,7 +2,7 @@
 
 A text is split by sections; a section that is still too long by paragraphs, then lines, sentences, words and last characters.
 The parts are packed greedily; each piece but the first begins with the last `overlap` tokens of the one
-before. A token is four characters, so a piece of at most n tokens has at most 4n + 3 characters.
+before, wherever these begin. A token is four characters, so a piece of at most n tokens has at most 4n + 3 characters.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ LEVELS = (
 CHARACTER = len(LEVELS)
 WORD_LEVEL = [name for name, _ in LEVELS].index("word")
 
+_ENDED = re.compile(r"[.!?…][\"'»”’)\]]*$")
+
 #: Closing marks that can't begin a sentence.
 CLOSING = set(".,;:!?)]}»”’%")
 
@@ -58,7 +60,8 @@ def mid_sentence(text: str) -> bool:
 def split_text(text: str, limit: int = LIMIT_TOKENS, overlap: int = OVERLAP_TOKENS) -> list[tuple[int, int, int, bool]]:
     """(start, start of the part not shared, end, boundary_issue) of each piece.
 
-    boundary_issue: the piece begins or ends within a sentence. A text within the limit is one piece, an empty text none.
+    boundary_issue: the piece as it comes out, the shared part included, begins or ends within a sentence. A text within the limit is one piece, an
+    empty text none.
     """
     if not text:
         return []
@@ -76,12 +79,29 @@ def split_text(text: str, limit: int = LIMIT_TOKENS, overlap: int = OVERLAP_TOKE
             cores.append([start, end, level])
     out = []
     for k, (start, end, level) in enumerate(cores):
-        begins = level >= WORD_LEVEL if k else mid_sentence(text)
+        first = max(start - shared, 0) if k else 0
         ends = k + 1 < len(cores) and cores[k + 1][2] >= WORD_LEVEL
-        out.append((max(start - shared, 0) if k else 0, start, end, begins or ends))
+        out.append((first, start, end, begins_inside(text, first) or ends))
     return out
 
 
+def begins_inside(text: str, at: int) -> bool:
+    """The place is within a sentence: no boundary of a sentence, line or paragraph is before it but for blanks, or what follows can't begin a sentence."""
+    if at == 0:
+        return mid_sentence(text)
+    after = at
+    while after < len(text) and text[after].isspace():
+        after += 1
+    before = after
+    while before > 0 and text[before - 1].isspace():
+        before -= 1
+    if before == 0:
+        return mid_sentence(text)
+    blanks = text[before:after]
+    ended = "\n" in blanks or bool(blanks) and bool(_ENDED.search(text, max(before - 8, 0), before))
+    return not ended or mid_sentence(text[after : after + 1])
+
+
 def split_oversized(records: DataFrame, id_col: str, text_col: str, position_col: str | None = None, limit: int = LIMIT_TOKENS, overlap: int = OVERLAP_TOKENS) -> DataFrame:
     """Pieces of the records above the limit, a row each.
 

@@ -284,10 +284,26 @@ def test_split_at_natural_boundaries(spark):
     df = spark.createDataFrame([(1, text, 10), (1, text, 10), (2, None, 1), (3, "", None), (4, "x" * 1203, 5), (5, "y" * 100_000, None)], "id int, text string, at int").withColumn("piece", F.lit("clash"))
     rows = splitting.split_oversized(df, "id", "text", "at").orderBy("id", "piece").collect()
     one = [r for r in rows if r.id == 1]
-    assert {r.id for r in rows} == {1, 5} and one[0].chunk_start_position == 10 and not any(r.boundary_issue for r in one) and all(r.token_count <= 300 for r in rows)
+    assert {r.id for r in rows} == {1, 5} and one[0].chunk_start_position == 10 and all(r.token_count <= 300 for r in rows)
+    # The flag is that of the piece as it comes out: all are cut at ends of sentences, but the shared part begins where it begins.
+    assert [r.boundary_issue for r in one] == [not r.text.lstrip().startswith("One") for r in one] and not one[0].boundary_issue
     assert all(r.boundary_issue for r in rows if r.id == 5) and splitting.split_oversized(df.limit(0), "id", "text").count() == 0
 
 
+def test_flags_are_those_of_the_pieces_as_they_come_out():
+    text = "Twenty chars are so. " * 400  # 21 characters, so that the shared 84 begin with a sentence
+    assert not any(issue for *_, issue in splitting.split_text(text, 300, 21))
+    assert all(issue for *_, issue in splitting.split_text(text, 300, 20)[1:])
+    rnd = random.Random(8)
+    for _ in range(60):
+        text = "".join(rnd.choice(["Sentence number %d here. " % rnd.randrange(99), "and so on ", "\n\n", "- item\n", "Oh! "]) for _ in range(rnd.randrange(200, 400)))
+        for start, _, end, issue in splitting.split_text(text):
+            piece, before = text[start:end].lstrip(), text[: len(text[:end]) - len(text[start:end].lstrip())]
+            ended = not before.strip() or before.rstrip(" ").endswith("\n") or before.endswith(" ") and before.rstrip()[-1] in ".!?…"
+            if piece and (not ended or piece[0].islower()):
+                assert issue, (before[-30:], piece[:30])
+
+
 # Problem 6
 
 
