@@ -3,7 +3,7 @@
 A document goes where the sum, over the residual gaps of open containers, of the squared number of containers with that gap
 becomes least: gaps stay varied, and there is a fitting one for what comes next. Items are
 spread by hash over shards of bounded size, large ones first within a shard; the containers a shard leaves with much room are emptied
-and filled once more together with those of other shards.
+and filled anew together with those of other shards, twice, whatever the number of shards.
 """
 
 from __future__ import annotations
@@ -12,9 +12,12 @@ import base64
 import math
 import os
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import xxhash
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,25 +36,31 @@ REFILL_ROUNDS = 2
 MOST_CAPACITIES = 1_000
 
 
-def load_tokenizer(directory: str = TOKENIZER_DIR, name: str = TOKENIZER):
+@lru_cache(4)
+def load_tokenizer(path: str, name: str = TOKENIZER):
+    """The tokenizer of a vocabulary file; a worker reads it once."""
     import tiktoken
 
-    with open(os.path.join(directory, name), "rb") as f:
+    with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     return tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def token_counts(documents: DataFrame, id_col: str, text_col: str, directory: str = TOKENIZER_DIR, name: str = TOKENIZER) -> DataFrame:
-    """(id, tokens) in tokens of a public tokenizer; null ids and texts are left out."""
+    """(id, tokens) in tokens of a public tokenizer, once for each id and text; null ids and texts are left out.
+
+    The vocabulary file is sent to the executors. Only ids, counts and hashes of texts are shuffled.
+    """
+    documents.sparkSession.sparkContext.addFile(os.path.join(directory, name))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = load_tokenizer(directory, name).encode_ordinary
+        encode = load_tokenizer(SparkFiles.get(name), name).encode_ordinary
         for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "tokens": [len(encode(t)) for t in batch["text"]]})
+            yield pd.DataFrame({"id": batch["id"], "tokens": [len(encode(t)) for t in batch["text"]], "version": [xxhash.xxh3_64_intdigest(t) - 2**63 for t in batch["text"]]})
 
     rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
     kind = documents.schema[id_col].dataType.simpleString()
-    return rows.mapInPandas(run, f"id {kind}, tokens long")
+    return rows.mapInPandas(run, f"id {kind}, tokens long, version long").dropDuplicates(["id", "version"]).select("id", "tokens")
 
 
 class SumOfSquares:
@@ -120,7 +129,7 @@ def pack(documents: DataFrame, id_col: str, text_col: str, capacities: DataFrame
     null texts take no room and give no row; repeated rows are placed once per row's id and text. Null or non-positive capacities are left out.
     """
     kind = documents.schema[id_col].dataType.simpleString()
-    sizes = cut_lineage(token_counts(documents.select(id_col, text_col).distinct(), id_col, text_col, directory, name))
+    sizes = cut_lineage(token_counts(documents, id_col, text_col, directory, name))
     caps = capacities.filter("capacity_id is not null and capacity_tokens > 0").select(F.col("capacity_id").cast("int"), F.col("capacity_tokens").cast("int").alias("capacity")).distinct().limit(MOST_CAPACITIES + 1).collect()
     if len(caps) > MOST_CAPACITIES:
         raise ValueError(f"more than {MOST_CAPACITIES} capacities")
@@ -130,10 +139,8 @@ def pack(documents: DataFrame, id_col: str, text_col: str, capacities: DataFrame
     for round_ in range(REFILL_ROUNDS + 1):
         most = left.groupBy("capacity_id").count().agg(F.max("count")).first()[0] or 0
         filled = cut_lineage(_fill(left, max(1, math.ceil(most / SHARD_ITEMS)), round_, kind))
-        keep = F.lit(True) if round_ == REFILL_ROUNDS or most <= SHARD_ITEMS else F.col("room") <= (1 - REFILL_BELOW) * F.col("capacity")
+        keep = F.lit(True) if round_ == REFILL_ROUNDS else F.col("room") <= (1 - REFILL_BELOW) * F.col("capacity")
         done.append(filled.filter(keep).select("capacity_id", "container", "id", "piece", "start", "tokens"))
-        if most <= SHARD_ITEMS:
-            break
         left = filled.filter(~keep).drop("container", "room")
     out = done[0]
     for part in done[1:]:
