@@ -1,6 +1,6 @@
 """Problem 1: message rows -> ordered conversations.
 
-Every message points at its parent: an explicit column where the source has one, otherwise the message
+Every message points at its parent: that of a column where the source has one (parent_col), otherwise the message
 before it in its conversation; the first message points at the conversation itself. Pointer jumping
 doubles the distance covered with each join, so a thread of n messages takes log2(n) rounds. What ends at
 a node that doesn't exist is an orphan, what never ends is a cycle.
@@ -30,19 +30,20 @@ def canonical_role(role: Column) -> Column:
     return F.element_at(F.create_map(*pairs), key)
 
 
-def latest_messages(messages: DataFrame) -> DataFrame:
+def latest_messages(messages: DataFrame, parent_col: str | None = None) -> DataFrame:
     """Each message_id once, as last ingested (ties: the longer, then the greater content), role made canonical.
 
     Rows without message_id are kept once per distinct content; rows without conversation_id are dropped,
-    as they belong to no conversation. Extra columns are ignored. max() combines on the map side, so a
+    as they belong to no conversation. Extra columns are ignored but parent_col, which becomes parent_id. max() combines on the map side, so a
     message delivered any number of times reaches the shuffle once per input partition.
     """
-    m = messages.select(*MESSAGE_COLUMNS).filter(F.col("conversation_id").isNotNull())
+    given = [F.col(parent_col).cast("string").alias("parent_id")] if parent_col else []
+    m = messages.select(*MESSAGE_COLUMNS, *given).filter(F.col("conversation_id").isNotNull())
     identity = F.coalesce("message_id", F.concat(F.lit("\u0000"), F.sha2(F.to_json(F.struct("conversation_id", "role", "content", "created_at")), 256)))
-    pick = F.max(F.struct("ingested_at", F.length("content").alias("n"), "content", "created_at", "role", "conversation_id")).alias("m")
+    pick = F.max(F.struct("ingested_at", F.length("content").alias("n"), "content", "created_at", "role", "conversation_id", *(["parent_id"] if given else []))).alias("m")
     return (
         m.groupBy(identity.alias("message_id")).agg(pick)
-        .select("message_id", "m.conversation_id", canonical_role(F.col("m.role")).alias("role"), "m.content", "m.created_at")
+        .select("message_id", "m.conversation_id", canonical_role(F.col("m.role")).alias("role"), "m.content", "m.created_at", *(["m.parent_id"] if given else []))
     )
 
 
@@ -123,7 +124,7 @@ def root_to_leaf_paths(nodes: DataFrame, resolved: DataFrame, jumps: list[DataFr
     The ancestors of a leaf at distances 0..2^k-1, jumped by table k, give those up to 2^(k+1)-1.
     """
     ok = resolved.filter("state = 'ok'")
-    parents = nodes.select(F.col("parent").alias("id")).distinct()
+    parents = nodes.join(ok.select("id"), "id", "left_semi").select(F.col("parent").alias("id")).distinct()
     paths = ok.join(parents, "id", "left_anti").select("root", F.col("id").alias("leaf"), "id", F.col("depth").alias("position"))
     for k, jump in enumerate(jumps):
         up = paths.filter(F.col("position") > 2**k).join(jump, "id")
@@ -132,70 +133,107 @@ def root_to_leaf_paths(nodes: DataFrame, resolved: DataFrame, jumps: list[DataFr
     return paths
 
 
+def _past_system(latest: DataFrame) -> DataFrame:
+    """parent_id of each message, but of system messages the nearest ancestor that is none: by pointer jumping over system messages alone."""
+    system = cut_lineage(latest.filter("role = 'system'").select(F.col("message_id").alias("sid"), F.col("parent_id").alias("up")))
+    for _ in range(64):
+        above = system.select(F.col("sid").alias("up"), F.col("up").alias("up2"), F.lit(True).alias("hit"))
+        step = cut_lineage(system.join(above, "up", "left").select("sid", "up", "up2", F.coalesce("hit", F.lit(False)).alias("hit")))
+        if not step.filter("hit").take(1):
+            break
+        system = step.select("sid", F.when(F.col("hit"), F.nullif(F.col("up2"), F.col("sid"))).otherwise(F.col("up")).alias("up"))
+    over = system.select(F.col("sid").alias("parent_id"), "up", F.lit(True).alias("over"))
+    return latest.join(over, "parent_id", "left").withColumn("parent_id", F.when(F.col("over"), F.col("up")).otherwise(F.col("parent_id"))).drop("up", "over")
+
+
 def conversation_nodes(latest: DataFrame) -> DataFrame:
-    """(id, parent, conversation_id, role, content, created_at) of all messages but the system's.
+    """(id, parent, conversation_id, role, content, created_at, message_id) of all messages but the system's.
 
-    Ids are prefixed, as a message and a conversation may bear the same id. A message without time or
-    recognisable role can't be placed: its parent is null, which makes it an orphan.
+    Ids are prefixed, as a message and a conversation may bear the same id. A message without recognisable role, or without both
+    time and given parents, can't be placed: its parent is null, which makes it an orphan. Where parents are given (parent_id), null stands for the
+    conversation, and children of a system message are children of its parent.
     """
-    told = latest.filter(F.coalesce(F.col("role") != "system", F.lit(True)))
-    placed = told.filter("created_at is not null and role is not null")
-    prev = previous_in_conversation(placed, ["message_id"])
-    parent = F.coalesce(F.concat(F.lit("m:"), F.col("prev.message_id")), F.concat(F.lit("c:"), F.col("conversation_id")))
     columns = ["conversation_id", "role", "content", "created_at", "message_id"]
-    node = F.concat(F.lit("m:"), F.col("message_id")).alias("id")
-    a = prev.select(node, parent.alias("parent"), *columns)
+    root, node = F.concat(F.lit("c:"), F.col("conversation_id")), F.concat(F.lit("m:"), F.col("message_id")).alias("id")
+    no_system = F.coalesce(F.col("role") != "system", F.lit(True))
+    if "parent_id" in latest.columns:
+        told = _past_system(latest).filter(no_system)
+        parent = F.when(F.col("role").isNotNull(), F.coalesce(F.concat(F.lit("m:"), F.col("parent_id")), root))
+        return cut_lineage(told.select(node, parent.alias("parent"), *columns))
+    told = latest.filter(no_system)
+    prev = previous_in_conversation(told.filter("created_at is not null and role is not null"), ["message_id"])
+    a = prev.select(node, F.coalesce(F.concat(F.lit("m:"), F.col("prev.message_id")), root).alias("parent"), *columns)
     b = told.filter("created_at is null or role is null").select(node, F.lit(None).cast("string").alias("parent"), *columns)
     return cut_lineage(a.unionByName(b))
 
 
-def thread_conversations(messages: DataFrame, conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All conversations judged, and the messages on their root-to-leaf paths.
-
-    First frame: (conversation_id, usable, reason), one row per id of either table. Second frame:
-    (conversation_id, leaf, position, message_id, role, created_at, content). reason is the first of
-    unknown_conversation, no_messages, unplaced_message, blank_content, not_alternating, no_reply that applies.
-    Null conversation ids are no conversations; repeated rows of conversations count once.
-    """
-    nodes = conversation_nodes(latest_messages(messages))
+def _judged(messages: DataFrame, conversations: DataFrame, parent_col: str | None) -> tuple[DataFrame, DataFrame, DataFrame, list[DataFrame]]:
+    nodes = conversation_nodes(latest_messages(messages, parent_col))
     known = conversations.filter("conversation_id is not null").select("conversation_id").distinct()
     roots = known.select(F.concat(F.lit("c:"), F.col("conversation_id")).alias("id"))
-    resolved, jumps = resolve_threads(nodes.select("id", "parent"), roots)
-    paths = root_to_leaf_paths(nodes, resolved, jumps)
-    talk = paths.join(nodes, "id").select("conversation_id", "leaf", "position", "message_id", "role", "created_at", "content")
-    blank = ~has_word(F.col("content"))
-    # In an alternation that begins with the user the parity of the position tells the role.
-    expected = F.when(F.col("position") % 2 == 1, "user").otherwise("assistant")
-    from_paths = talk.groupBy("conversation_id").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(blank).alias("blank"), F.count_if(F.col("role") != expected).alias("misplaced"), F.max("position").alias("length"),
-        F.count_if(F.col("position") == 1).alias("leaves"),
+    links = nodes.select("id", "parent")
+    resolved, jumps = resolve_threads(links, roots)
+    if parent_col:  # a thread that leads into another conversation is lost to its own
+        own = nodes.select("id", F.concat(F.lit("c:"), F.col("conversation_id")).alias("own"))
+        state = F.when((F.col("state") == "ok") & (F.col("root") != F.col("own")), "orphan").otherwise(F.col("state"))
+        resolved = resolved.join(own, "id").select("id", "root", "depth", state.alias("state"))
+    resolved = cut_lineage(resolved)
+    flags = nodes.select("id", "conversation_id", "role", (~has_word(F.col("content"))).alias("blank"))
+    inner = links.join(resolved.filter("state = 'ok'").select("id"), "id", "left_semi") if parent_col else links
+    inner = inner.filter("parent like 'm:%'").select(F.col("parent").alias("id"), F.lit(True).alias("inner")).distinct()
+    placed = flags.join(resolved, "id").join(inner, "id", "left")
+    ok = F.col("state") == "ok"
+    leaf = ok & F.col("inner").isNull()
+    # In an alternation that begins with the user the parity of the depth tells the role.
+    expected = F.when(F.col("depth") % 2 == 1, "user").otherwise("assistant")
+    counts = placed.groupBy("conversation_id").agg(
+        F.count_if(ok).alias("n"), F.count_if(~ok).alias("lost"), F.count_if(ok & F.col("blank")).alias("blank"), F.count_if(ok & (F.col("role") != expected)).alias("misplaced"),
+        F.count_if(leaf).alias("leaves"), F.count_if(leaf & (F.col("depth") % 2 == 1)).alias("open"),
     )
-    lost = (
-        resolved.filter("state <> 'ok'").join(nodes, "id").groupBy("conversation_id").agg(F.count(F.lit(1)).alias("lost"))
-    )
-    ids = known.withColumn("known", F.lit(True)).unionByName(nodes.select("conversation_id").distinct().withColumn("known", F.lit(False)))
     # A conversation of system messages alone has no node, but is listed all the same.
-    ids = ids.unionByName(messages.filter("conversation_id is not null").select("conversation_id").distinct().withColumn("known", F.lit(False)))
+    ids = known.withColumn("known", F.lit(True)).unionByName(messages.filter("conversation_id is not null").select("conversation_id").distinct().withColumn("known", F.lit(False)))
     ids = ids.groupBy("conversation_id").agg(F.bool_or("known").alias("known"))
-    judged = ids.join(from_paths, "conversation_id", "left").join(lost, "conversation_id", "left")
     reason = (
         F.when(~F.col("known"), "unknown_conversation")
         .when(F.coalesce("lost", F.lit(0)) > 0, "unplaced_message")
         .when(F.coalesce("n", F.lit(0)) == 0, "no_messages")
         .when(F.col("blank") > 0, "blank_content")
         .when((F.col("misplaced") > 0) & (F.col("leaves") == 1), "not_alternating")
-        .when((F.col("length") % 2 == 1) | (F.col("misplaced") > 0), "no_reply")
+        .when((F.col("open") > 0) | (F.col("misplaced") > 0), "no_reply")
     )
-    return judged.select("conversation_id", reason.isNull().alias("usable"), reason.alias("reason")), talk
+    judged = ids.join(counts, "conversation_id", "left").select("conversation_id", reason.isNull().alias("usable"), reason.alias("reason"))
+    return judged, nodes, resolved, jumps
+
+
+def judge_conversations(messages: DataFrame, conversations: DataFrame, parent_col: str | None = None) -> DataFrame:
+    """(conversation_id, usable, reason), one row per id of either table.
+
+    reason is the first of unknown_conversation, no_messages, unplaced_message, blank_content, not_alternating, no_reply that applies. Every message of a
+    resolved thread is on a path from the root to a leaf, so that depths and leaves tell what paths would; none is emitted.
+    Null conversation ids are no conversations; repeated rows of conversations count once.
+    """
+    return _judged(messages, conversations, parent_col)[0]
+
+
+def thread_conversations(messages: DataFrame, conversations: DataFrame, parent_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """judge_conversations, and the messages on their root-to-leaf paths.
+
+    Second frame: (conversation_id, leaf, position, message_id, role, created_at, content); with branches a message is on several paths.
+    """
+    judged, nodes, resolved, jumps = _judged(messages, conversations, parent_col)
+    paths = root_to_leaf_paths(nodes.select("id", "parent"), resolved, jumps)
+    return judged, paths.join(nodes, "id").select("conversation_id", "leaf", "position", "message_id", "role", "created_at", "content")
 
 
-def rebuild_conversations(messages: DataFrame, conversations: DataFrame) -> DataFrame:
-    """Usable conversations only: (conversation_id, position, message_id, role, created_at, content), a row per message.
+def rebuild_conversations(messages: DataFrame, conversations: DataFrame, parent_col: str | None = None) -> DataFrame:
+    """Usable conversations only: (conversation_id, position, message_id, role, created_at, content), a row per message, and leaf where parents are
+    given: each leaf is the end of a conversation of its own.
 
     A row per message, not an array per conversation: no row grows with the longest conversation.
     """
-    judged, talk = thread_conversations(messages, conversations)
-    return talk.join(judged.filter("usable").select("conversation_id"), "conversation_id").drop("leaf")
+    judged, talk = thread_conversations(messages, conversations, parent_col)
+    kept = talk.join(judged.filter("usable").select("conversation_id"), "conversation_id")
+    return kept.withColumn("leaf", F.substring("leaf", 3, 2**31 - 1)) if parent_col else kept.drop("leaf")
 
 
 def answer_pairs(latest: DataFrame) -> DataFrame:
@@ -207,7 +245,7 @@ def answer_pairs(latest: DataFrame) -> DataFrame:
 
 def p1_found(spark, sf_dir: str) -> DataFrame:
     """Conversations that are not usable."""
-    judged, _ = thread_conversations(spark.read.parquet(f"{sf_dir}/chat_messages.parquet"), spark.read.parquet(f"{sf_dir}/chat_conversations.parquet"))
+    judged = judge_conversations(spark.read.parquet(f"{sf_dir}/chat_messages.parquet"), spark.read.parquet(f"{sf_dir}/chat_conversations.parquet"))
     return judged.filter("not usable").select("conversation_id")
 
 

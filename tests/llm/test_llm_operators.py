@@ -66,6 +66,25 @@ def test_threads_with_branches_orphans_and_cycles(spark):
     assert [i for _, i in sorted(by["c"])] == ["a", "b", "c"] and [i for _, i in sorted(by["d"])] == ["a", "b", "d"] and [i for _, i in sorted(by["n69"])] == [f"n{i}" for i in range(70)]
 
 
+def test_given_parents_with_branches_orphans_and_cycles(spark):
+    rows = [
+        ("a", "one", "user", "q", None), ("b", "one", "assistant", "x", "a"), ("c", "one", "assistant", "y", "a"), ("d", "one", "user", "more", "c"), ("e", "one", "bot", "z", "d"),
+        ("s", "sys", "system", "be kind", None), ("f", "sys", "user", "q", "t"), ("t", "sys", "system", "be short", "s"), ("g", "sys", "assistant", "x", "f"),
+        ("h", "ring", "user", "q", "i"), ("i", "ring", "assistant", "x", "h"), ("j", "lost", "user", "q", "nowhere"), ("k", "lost", "assistant", "x", "j"),
+        ("l", "left", "user", "q", None), ("m", "left", "assistant", "x", "l"), ("n", "left", "user", "q", "l"), ("o", "other", "assistant", "x", "a"), ("p", "self", "user", "q", "p"),
+    ]
+    df = messages(spark, [(m, c, r, t, at(59 - i), at(0)) for i, (m, c, r, t, _) in enumerate(rows)])
+    parents = spark.createDataFrame([(m, p) for m, *_, p in rows], "message_id string, reply_to string")
+    ids = spark.createDataFrame([(c,) for c in ("one", "sys", "ring", "lost", "left", "other", "self")], "conversation_id string")
+    given = df.join(parents, "message_id")
+    got = {r.conversation_id: r.reason for r in conversations.judge_conversations(given, ids, "reply_to").collect()}
+    assert got == {"one": None, "sys": None, "ring": "unplaced_message", "lost": "unplaced_message", "left": "no_reply", "other": "unplaced_message", "self": "unplaced_message"}
+    by = {}
+    for r in conversations.rebuild_conversations(given, ids, "reply_to").collect():
+        by.setdefault((r.conversation_id, r.leaf), []).append((r.position, r.message_id, r.role))
+    assert {k: [m for _, m, _ in sorted(v)] for k, v in by.items()} == {("one", "b"): ["a", "b"], ("one", "e"): ["a", "c", "d", "e"], ("sys", "g"): ["f", "g"]}
+
+
 def test_one_conversation_holds_nearly_all(spark):
     rows = [(str(i), "hot", ("user", "assistant")[i % 2], "x", f"2025-01-01 {i // 3600:02d}:{i // 60 % 60:02d}:{i % 60:02d}", at(0)) for i in range(600)]
     judged, _ = conversations.thread_conversations(messages(spark, rows).repartition(7), spark.createDataFrame([("hot",)], "conversation_id string"))
