@@ -28,12 +28,14 @@ def local_session(app: str = "parchmill", cpus: int | str | None = None, shuffle
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where the setting is missing."""
+    """The shared folder of spark.checkpoint.dir; a temporary one only where the setting is missing and all runs on this machine."""
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     folder = spark.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir", "")
+    if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="parchmill-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -44,6 +46,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df over all cores, by hash of the keys, where its files make fewer partitions than there are cores; large inputs are left as they are.
+
+    For scans with expensive work on each row. The partitions are known from the plan, nothing runs.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers, wherever they run: once a Spark context."""
     sc = spark.sparkContext
