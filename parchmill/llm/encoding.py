@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 #: Pages of each language that the dictionaries are trained on.
 SAMPLE_PAGES = 300
 SAMPLE_CHARS = 12_000
@@ -314,7 +316,7 @@ def find_wrong_encoding(records: DataFrame, dictionaries: dict[str, bytes], text
     columns restored and chain. Nothing is shuffled.
     """
     names = records.columns
-    kept = records.filter(F.col(text_col).rlike(SUSPECT + "|�"))
+    kept = spread(records.filter(F.col(text_col).rlike(SUSPECT + "|�")), text_col)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         languages = Languages(dictionaries)

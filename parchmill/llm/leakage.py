@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 
 MIN_RUN = 12
 #: Bits of the bitmap of pieces, as a power of two: 2 MB, whatever the number of items. False hits go in the join.
@@ -165,7 +165,7 @@ def find_leaks(
     asked = cut_lineage(asked.withColumn("item", F.xxhash64("item_id", "item_text")))
     pieces = cut_lineage(_pieces(asked, width))
     bits = _bitmap(pieces, power)
-    docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null and text is not null")
+    docs = spread(documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null and text is not null"), "doc_id")
 
     def hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bitmap = np.frombuffer(bits, dtype=np.uint8)

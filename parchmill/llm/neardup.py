@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType
 
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 from .words import words
 
 SHINGLE_WORDS = 3
@@ -37,6 +37,10 @@ SEGMENTS = 10
 SEGMENT_SYMBOLS = 5
 #: Rows of one block of a hot table entry; larger entries are joined block by block.
 BLOCK_ROWS = 2_000
+#: Hot entries are known from one in so many records, if that many of these share the entry. They only decide on the layout of the work.
+HOT_SHARE, HOT_ROWS = 64, 16
+#: Hot entries that are sent along with a join; more of them are joined by shuffle.
+BROADCAST_ENTRIES = 100_000
 
 
 def _constants(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,7 +99,7 @@ def fingerprints(records: DataFrame, shingle: int, min_words: int, symbols: int)
             yield pd.DataFrame(rows, columns=["id", "high", "low", "symbols"])
 
     kind = records.schema["id"].dataType.simpleString()
-    return records.filter("id is not null and text is not null").mapInPandas(run, f"id {kind}, high long, low long, symbols binary")
+    return spread(records.filter("id is not null and text is not null"), "id").mapInPandas(run, f"id {kind}, high long, low long, symbols binary")
 
 
 def candidate_pairs(representatives: DataFrame, segments: int, width: int) -> DataFrame:
@@ -109,9 +113,14 @@ def candidate_pairs(representatives: DataFrame, segments: int, width: int) -> Da
 
     kind = representatives.schema["id"].dataType.simpleString()
     postings = representatives.mapInPandas(run, f"id {kind}, keys array<long>").select(F.explode("keys").alias("key"), "id")
+    # An entry may hold a third of all records: those that hold many are cut into parts, so that no task counts or joins one whole.
+    seen = representatives.filter(F.pmod(F.xxhash64("id"), F.lit(HOT_SHARE)) == 0).mapInPandas(run, f"id {kind}, keys array<long>").select(F.explode("keys").alias("key"))
+    hot = cut_lineage(seen.groupBy("key").count().filter(F.col("count") >= HOT_ROWS).select("key", F.ceil(F.col("count") * HOT_SHARE / BLOCK_ROWS).alias("parts")))
+    small = F.broadcast if hot.count() <= BROADCAST_ENTRIES else (lambda x: x)
+    marked = postings.join(small(hot), "key", "left").withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("id"), F.col("parts"))).otherwise(F.lit(0)))
     # Most entries hold one record; they leave before anything is joined.
-    shared = cut_lineage(postings.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("key"))).filter("n > 1"))
-    blocks = F.ceil(F.col("n") / BLOCK_ROWS)
+    shared = cut_lineage(marked.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("key", "part"))).filter("n > 1 or parts is not null").select("key", "id", "n", "parts"))
+    blocks = F.coalesce("parts", F.ceil(F.col("n") / BLOCK_ROWS))
     left = shared.select("key", F.col("id").alias("a"), F.pmod(F.xxhash64("id"), blocks).alias("block"))
     right = shared.select("key", F.col("id").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"))
     return left.join(right, ["key", "block"]).filter("a < b").select("a", "b").distinct()

@@ -21,7 +21,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 
 #: Where the public tokenizers are, and which is used.
 TOKENIZER_DIR = os.environ.get("PARCHMILL_TOKENIZERS", "/opt/tokenizers")
@@ -58,7 +58,7 @@ def token_counts(documents: DataFrame, id_col: str, text_col: str, directory: st
         for batch in batches:
             yield pd.DataFrame({"id": batch["id"], "tokens": [len(encode(t)) for t in batch["text"]], "version": [xxhash.xxh3_64_intdigest(t) - 2**63 for t in batch["text"]]})
 
-    rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
+    rows = spread(documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null"), "id")
     kind = documents.schema[id_col].dataType.simpleString()
     return rows.mapInPandas(run, f"id {kind}, tokens long, version long").dropDuplicates(["id", "version"]).select("id", "tokens")
 

@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .residue_exemplars import EXEMPLARS
 
 #: Least share of an exemplar's weight in a passage.
@@ -344,7 +345,7 @@ def corpus_statistics(documents: DataFrame, text_col: str) -> tuple[dict[str, in
         rows = [("\0n", n), *seen.items(), *((f"\0{i}", int(c)) for i, c in enumerate(letters) if c)]
         yield pd.DataFrame(rows, columns=["term", "n"])
 
-    texts = documents.select(F.col(text_col).alias("text")).filter("text is not null")
+    texts = spread(documents.select(F.col(text_col).alias("text")).filter("text is not null"), "text")
     counts = {r["term"]: r["n"] for r in texts.mapInPandas(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     letters = np.zeros(729, dtype=np.int64)
     for term, n in counts.items():
@@ -358,10 +359,10 @@ def find_residue(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     Placeholders, notes to do and filler count wherever they stand; messages and notices only where they
     make up most of the page. Null ids and texts, empty texts and texts without a word are no case. Repeated rows give one row.
-    Documents are not shuffled; one small aggregation comes before the pass.
+    Documents are not shuffled, unless their files are fewer than the cores; one small aggregation comes before the pass.
     """
     frequencies, n, letters = corpus_statistics(documents, text_col)
-    rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
+    rows = spread(documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null"), "id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index, pairs = Index(frequencies, n), Pairs(letters)

@@ -128,6 +128,16 @@ def test_near_duplicates_in_blocks_and_of_nothing(spark, monkeypatch):
     assert links.count() == 0 and members.count() == 0
 
 
+def test_hot_entries_are_cut_before_they_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", 3)
+    monkeypatch.setattr(neardup, "HOT_SHARE", 1)
+    monkeypatch.setattr(neardup, "HOT_ROWS", 4)
+    text = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(i, f"{text} extra{i}") for i in range(12)] + [(50 + i, f"{text} a b c d e f g h {i} {i}") for i in range(2)], "id int, text string")
+    links, _ = neardup.near_duplicates(df, "id", "text")
+    assert links.count() == 14 * 13 // 2
+
+
 def test_groups_of_a_long_chain(spark):
     chain = [(i, i + 1) for i in range(1, 40)] + [(50, 51)]
     links = spark.createDataFrame(chain, "a int, b int")
