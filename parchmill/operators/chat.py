@@ -13,12 +13,15 @@ from .profile import running_total
 STALE_MINUTES = 5
 
 
-def latest(df: DataFrame, key: str, by: str) -> DataFrame:
-    """One row per key, the last by `by`; equal ones by all columns, so that the choice doesn't depend on the order of rows."""
-    rest = [c for c in df.columns if c != by]
-    plain = [c for c in rest if not df.schema[c].dataType.typeName() in ("map", "variant")]
-    best = df.groupBy(key).agg(F.max(F.struct(by, *[c for c in plain if c != key])).alias("_r"))
-    return best.select(key, *[F.col(f"_r.{c}").alias(c) for c in df.columns if c != key])
+def latest(df: DataFrame, key: str, by: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """One row per key, the last by `by`; equal ones by the given columns, so that the choice doesn't depend on the order of rows.
+
+    columns: those that are wanted, besides key and by; the others are neither read nor shuffled.
+    """
+    wanted = [c for c in (df.columns if columns is None else columns) if c not in (key, by)]
+    plain = [c for c in wanted if df.schema[c].dataType.typeName() not in ("map", "variant")]
+    best = df.groupBy(key).agg(F.max(F.struct(by, *plain)).alias("_r"))
+    return best.select(key, *[F.col(f"_r.{c}").alias(c) for c in df.columns if c == by or c in plain])
 
 
 def owned(conversations: DataFrame, user: str) -> DataFrame:
@@ -148,14 +151,14 @@ def recent_comments(feedback: DataFrame, most: int = 10) -> DataFrame:
 
 
 def context_block(rank: Column, title: Column, file: Column, text: Column) -> Column:
-    """A numbered source for a prompt."""
-    return F.format_string("[%d] %s (%s)\n%s\n", rank, F.coalesce(title, F.lit("")), F.coalesce(file, F.lit("")), F.coalesce(text, F.lit("")))
+    """A numbered source for a prompt; a dash in place of a missing number."""
+    return F.format_string("[%s] %s (%s)\n%s\n", F.coalesce(rank.cast("string"), F.lit("-")), F.coalesce(title, F.lit("")), F.coalesce(file, F.lit("")), F.coalesce(text, F.lit("")))
 
 
-def contexts(retrieved: DataFrame, key: str = "message_id", most: int = 20) -> DataFrame:
-    """Sources of each message in order of rank, joined; ranks above most are not shown to a model."""
-    r = retrieved.filter(F.col("rank") <= most)
-    blocks = r.groupBy(key).agg(F.array_sort(F.collect_set(F.struct("rank", context_block(F.col("rank"), F.col("titre"), F.col("source_file"), F.col("texte")).alias("b")))).alias("s"))
+def contexts(retrieved: DataFrame, key: str = "message_id") -> DataFrame:
+    """Sources of each message in order of rank, joined: all that were retrieved for it, each once; a source without rank comes last."""
+    block = context_block(F.col("rank"), F.col("titre"), F.col("source_file"), F.col("texte"))
+    blocks = retrieved.groupBy(key).agg(F.array_sort(F.collect_set(F.struct(F.coalesce("rank", F.lit(2**31 - 1)).alias("rank"), block.alias("b")))).alias("s"))
     return blocks.select(key, F.array_join(F.transform("s", lambda x: x["b"]), "\n").alias("context"), F.size("s").alias("n_sources"))
 
 

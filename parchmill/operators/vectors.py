@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -143,9 +143,9 @@ def indexed_top_k(vectors: DataFrame, queries: DataFrame, k: int, centres: np.nd
     return _best(found, k, None)
 
 
-def similarity_category(s: Column) -> Column:
+def similarity_category(s: Column, categories: Sequence[tuple[float, str]] = CATEGORIES) -> Column:
     out = F.lit("false_positive")
-    for least, name in reversed(CATEGORIES):
+    for least, name in reversed(categories):
         out = F.when(s >= least, name).otherwise(out)
     return out
 
@@ -194,9 +194,9 @@ def near_pairs(matches: DataFrame, threshold: float) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
-def audit(best: DataFrame) -> DataFrame:
+def audit(best: DataFrame, categories: Sequence[tuple[float, str]] = CATEGORIES) -> DataFrame:
     """One row: matches by category, and the accuracy of the cleaning in percent (exact and high)."""
-    c = similarity_category(F.col("similarity"))
+    c = similarity_category(F.col("similarity"), categories)
     t = best.select(c.alias("c")).agg(*[F.count_if(F.col("c") == n).alias(n) for n in ("exact", "high", "borderline", "false_positive")], F.count(F.lit(1)).alias("total"))
     return t.withColumn("accuracy_percent", tx.percent(F.col("exact") + F.col("high"), F.col("total"), 2))
 

@@ -14,16 +14,21 @@ def _table(spark, d: str, name: str):
 
 
 def _conversations(spark, d: str):
-    return chat.latest(_table(spark, d, "chat_conversations"), "conversation_id", "updated_at")
+    return chat.latest(_table(spark, d, "chat_conversations"), "conversation_id", "updated_at", ["user_id", "title", "created_at", "is_deleted"])
 
 
-def _messages(spark, d: str):
-    return chat.latest(_table(spark, d, "chat_messages"), "message_id", "ingested_at")
+#: What decides between deliveries of a message at the same time.
+DECIDING = ("conversation_id", "role", "content", "created_at")
+
+
+def _messages(spark, d: str, *columns: str):
+    """Each message as last delivered. Without content where no column of a query needs it: equal deliveries then differ in nothing that is asked."""
+    return chat.latest(_table(spark, d, "chat_messages"), "message_id", "ingested_at", columns or DECIDING)
 
 
 def conversation_list(spark, d):
     live = _conversations(spark, d).filter("not is_deleted")
-    counted = chat.message_counts(live, _messages(spark, d))
+    counted = chat.message_counts(live, _messages(spark, d, "conversation_id"))
     return counted.select("conversation_id", "user_id", "message_count", F.unix_micros("updated_at").alias("updated_us"))
 
 
@@ -43,7 +48,7 @@ def first_user_message(spark, d):
 
 def stale_or_empty_conversations(spark, d):
     now = F.lit("2025-12-31 00:00:00").cast("timestamp")
-    return chat.stale_empty(_conversations(spark, d), _messages(spark, d), now).select("conversation_id", "user_id")
+    return chat.stale_empty(_conversations(spark, d), _messages(spark, d, "conversation_id"), now).select("conversation_id", "user_id")
 
 
 def message_search(spark, d):
@@ -52,7 +57,7 @@ def message_search(spark, d):
 
 
 def message_page(spark, d):
-    p = chat.page(_messages(spark, d).filter("created_at is not null"), [F.desc("created_at"), F.col("message_id")], 2, 20)
+    p = chat.page(_messages(spark, d, "conversation_id", "created_at").filter("created_at is not null"), [F.desc("created_at"), F.col("message_id")], 2, 20)
     return p.select("message_id", F.unix_micros("created_at").alias("created_us"))
 
 
@@ -73,7 +78,7 @@ def prompt_contexts(spark, d):
 
 def soft_delete_projection(spark, d):
     now = F.lit("2025-12-31 00:00:00").cast("timestamp")
-    c, m = _conversations(spark, d), _messages(spark, d)
+    c, m = _conversations(spark, d), _messages(spark, d, "conversation_id")
     gone = chat.stale_empty(c, m, now)
     out = chat.soft_deleted(c, gone, "stale_empty", now)
     return out.select("conversation_id", "is_deleted", "deleted_reason", F.unix_micros("updated_at").alias("updated_us"))
@@ -106,7 +111,7 @@ def feedback_checks(spark, d):
 
 
 def feedback_rateable(spark, d):
-    return chat.rateable(_table(spark, d, "feedback"), _messages(spark, d), _conversations(spark, d)).select("feedback_id", "message_id")
+    return chat.rateable(_table(spark, d, "feedback"), _messages(spark, d, "conversation_id", "role"), _conversations(spark, d)).select("feedback_id", "message_id")
 
 
 def rate_limit_windows(spark, d):
@@ -126,7 +131,7 @@ def payload_fields(spark, d):
 
 def user_activity(spark, d):
     """Conversations and messages of each user: a join through two keys."""
-    c, m = _conversations(spark, d), _messages(spark, d)
+    c, m = _conversations(spark, d), _messages(spark, d, "conversation_id")
     j = m.join(c.select("conversation_id", "user_id"), "conversation_id")
     return j.groupBy("user_id").agg(F.countDistinct("conversation_id").alias("conversations"), F.count(F.lit(1)).alias("messages"))
 
@@ -154,8 +159,8 @@ select conversation_id, count(*) as n, string_agg(message_id, ',' order by creat
     "message_page": _B + "select message_id, epoch_us(m.created_at) as created_us from m where created_at is not null order by m.created_at desc, message_id limit 20 offset 20",
     "message_checks": _B + r"select case when role is null or role not in ('user', 'assistant', 'system') then 'role' when not coalesce(regexp_matches(content, '[^\s\p{Z}]'), false) then 'blank' when role = 'user' and length(content) > 2000 then 'too_long' else 'none' end as error, count(*) as n from m group by 1",
     "role_map": _B + "select case when lower(trim(role)) = 'assistant' then 'model' else lower(trim(role)) end as role, count(*) as n, sum(length(content) // 4)::bigint as tokens from m group by 1",
-    "prompt_contexts": """with b as (select distinct message_id, rank, '[' || rank || '] ' || coalesce(titre, '') || ' (' || coalesce(source_file, '') || ')' || chr(10) || coalesce(texte, '') || chr(10) as b from retrieved_chunks where rank <= 20)
-select message_id, count(*) as n_sources, md5(string_agg(b, chr(10) order by rank, b)) as context_md5 from b group by 1""",
+    "prompt_contexts": """with b as (select distinct message_id, rank, '[' || coalesce(rank::varchar, '-') || '] ' || coalesce(titre, '') || ' (' || coalesce(source_file, '') || ')' || chr(10) || coalesce(texte, '') || chr(10) as b from retrieved_chunks)
+select message_id, count(*) as n_sources, md5(string_agg(b, chr(10) order by rank nulls last, b)) as context_md5 from b group by 1""",
     "soft_delete_projection": _B + f"select conversation_id, is_deleted or ({_STALE}) as is_deleted, case when {_STALE} then 'stale_empty' end as deleted_reason, epoch_us(case when {_STALE} then timestamptz '2025-12-31 00:00:00+00' else updated_at end) as updated_us from c",
     "feedback_analytics": "select count(*) as total, round(coalesce(avg(rating), 0), 2) as avg_rating, count(*) filter (sentiment = 'helpful') as helpful, count(*) filter (sentiment = 'not_helpful') as not_helpful, round(count(*) filter (sentiment = 'helpful') * 100 / count(*), 1) as helpful_percent from feedback",
     "rating_distribution": "select r::int as rating, count(f.feedback_id) as n from range(1, 6) q(r) left join feedback f on f.rating = r group by 1",

@@ -11,62 +11,62 @@ from ..functions import text as tx
 from ..operators import chat, profile
 
 
-def _chunks(spark, d: str) -> DataFrame:
-    """Chunks, each chunk_id once."""
-    c = spark.read.parquet(f"{d}/chunks.parquet")
-    return chat.latest(c.withColumn("score", F.col("validation_score.final_score")).drop("image_summary", "validation_score"), "chunk_id", "chunked_at")
+def _chunks(spark, d: str, *columns: str) -> DataFrame:
+    """Chunks, each chunk_id once, with the columns asked for and no others."""
+    c = spark.read.parquet(f"{d}/chunks.parquet").withColumn("score", F.col("validation_score.final_score"))
+    return chat.latest(c, "chunk_id", "chunked_at", columns)
 
 
 def chunk_features(spark, d):
     f = media.features(F.col("text"))
-    rows = _chunks(spark, d).select("chunk_id", f.alias("f"))
+    rows = _chunks(spark, d, "text").select("chunk_id", f.alias("f"))
     return rows.select("chunk_id", "f.total_images", "f.total_tables", "f.total_code_blocks", "f.has_media", tx.content_type(F.col("f.total_code_blocks"), F.col("f.total_tables"), F.col("f.total_images")).alias("content_type"), F.md5(F.array_join("f.table_summary", "\n")).alias("rows_md5"))
 
 
 def chunk_types(spark, d):
     t = F.col("text")
-    return _chunks(spark, d).select("chunk_id", tx.block_type(t).alias("block_type"), tx.only_marker(t).alias("only_marker"), tx.boundary_issue(t).alias("starts_inside"), (tx.token_estimate(t) < 20).alias("low_content"))
+    return _chunks(spark, d, "text").select("chunk_id", tx.block_type(t).alias("block_type"), tx.only_marker(t).alias("only_marker"), tx.boundary_issue(t).alias("starts_inside"), (tx.token_estimate(t) < 20).alias("low_content"))
 
 
 def strategy_acceptance(spark, d):
-    return profile.acceptance_by(_chunks(spark, d), "chunking_method")
+    return profile.acceptance_by(_chunks(spark, d, "chunking_method", "validation_status"), "chunking_method")
 
 
 def retry_histogram(spark, d):
-    return profile.histogram(_chunks(spark, d), "retry_depth")
+    return profile.histogram(_chunks(spark, d, "retry_depth"), "retry_depth")
 
 
 def boundary_fraction(spark, d):
-    return profile.fraction(_chunks(spark, d), F.col("boundary_issue"), "fraction")
+    return profile.fraction(_chunks(spark, d, "boundary_issue"), F.col("boundary_issue"), "fraction")
 
 
 def per_file_report(spark, d):
-    return profile.score_summary(_chunks(spark, d), ["relative_path"], "score")
+    return profile.score_summary(_chunks(spark, d, "relative_path", "score", "token_count"), ["relative_path"], "score")
 
 
 def global_chunk_report(spark, d):
-    return profile.global_report(_chunks(spark, d), "relative_path", "score")
+    return profile.global_report(_chunks(spark, d, "relative_path", "score", "validation_status", "chunking_status", "low_content"), "relative_path", "score")
 
 
 def running_tokens_per_file(spark, d):
-    rows = _chunks(spark, d).select("relative_path", "chunk_id", tx.token_estimate(F.col("text")).alias("tokens"))
+    rows = _chunks(spark, d, "relative_path", "text").select("relative_path", "chunk_id", tx.token_estimate(F.col("text")).alias("tokens"))
     return profile.running_total(rows, ["relative_path"], ["chunk_id"], "tokens", "file_tokens")
 
 
 def chunk_ordinals(spark, d):
     """Number and total of each chunk in its file, and a new id over all, range by range."""
-    rows = profile.global_rank(_chunks(spark, d).select("folder_path", "relative_path", "chunk_id"), "folder_path", "relative_path", "chunk_id", name="new_id")
+    rows = profile.global_rank(_chunks(spark, d, "folder_path", "relative_path").select("folder_path", "relative_path", "chunk_id"), "folder_path", "relative_path", "chunk_id", name="new_id")
     files = rows.groupBy("folder_path", "relative_path").agg(F.min("new_id").alias("first_id"), F.count(F.lit(1)).alias("total_chunks"))
     return rows.join(files, ["folder_path", "relative_path"]).select("chunk_id", "new_id", (F.col("new_id") - F.col("first_id") + 1).alias("chunk_no"), "total_chunks")
 
 
 def accepted_by_folder(spark, d):
-    ok = _chunks(spark, d).filter(F.col("validation_status").isin(*profile.ACCEPTED))
+    ok = _chunks(spark, d, "folder_path", "relative_path", "validation_status").filter(F.col("validation_status").isin(*profile.ACCEPTED))
     return ok.groupBy("folder_path").agg(F.count(F.lit(1)).alias("n"), F.min("chunk_id").alias("first_chunk"), F.countDistinct("relative_path").alias("files"))
 
 
 def media_grouping_sets(spark, d):
-    return profile.counts_by_each(_chunks(spark, d), "content_type", "chunking_method")
+    return profile.counts_by_each(_chunks(spark, d, "content_type", "chunking_method"), "content_type", "chunking_method")
 
 
 def judge_scores(spark, d):
@@ -89,7 +89,7 @@ def judge_scores(spark, d):
 def retrieved_positions(spark, d):
     """Where a retrieved text begins in its chunk, and the first of the retrieved rows of each message."""
     r = spark.read.parquet(f"{d}/retrieved_chunks.parquet").withColumn("chunk_id", F.get_json_object("raw_meta", "$.chunk_id").cast("long"))
-    c = _chunks(spark, d).select("chunk_id", F.col("text").alias("chunk"))
+    c = _chunks(spark, d, "text").select("chunk_id", F.col("text").alias("chunk"))
     rows = r.join(c, "chunk_id").select("retrieved_id", "chunk_id", tx.start_in(F.col("chunk"), F.col("texte")).alias("start"), tx.line_number(F.col("chunk"), tx.start_in(F.col("chunk"), F.col("texte"))).alias("line"))
     return rows.distinct()
 

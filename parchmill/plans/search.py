@@ -43,16 +43,19 @@ def near_duplicate_pairs(spark, d):
     return vectors.all_near_pairs(_embeddings(spark, d), 0.4)
 
 
+#: Least similarity of each category in these vectors, which are less alike than those of real texts.
+CATEGORIES = ((0.48, "exact"), (0.45, "high"), (0.35, "borderline"))
+
+
 def duplicate_vs_clean_class(spark, d):
-    """The nearest other row of each query and its category, with similarities scaled to the data."""
+    """The nearest other row of each query and its category."""
     v = _embeddings(spark, d)
-    best = vectors.top_k(v, _queries(v), 1)
-    scaled = F.round(F.least(F.lit(1.0), F.col("similarity") + 0.5), 6)
-    return best.select("query_id", "match_id", scaled.alias("similarity")).withColumn("category", vectors.similarity_category(F.col("similarity")))
+    best = vectors.top_k(v, _queries(v), 1).select("query_id", "match_id", "similarity")
+    return best.withColumn("category", vectors.similarity_category(F.col("similarity"), CATEGORIES))
 
 
 def dedup_audit(spark, d):
-    a = vectors.audit(duplicate_vs_clean_class(spark, d))
+    a = vectors.audit(duplicate_vs_clean_class(spark, d), CATEGORIES)
     return a.withColumn("recommendation", vectors.recommendation(F.col("accuracy_percent")))
 
 
@@ -126,11 +129,12 @@ QUERIES = {
 _S = """with q as (select vec_id, embedding::double[] as e from embeddings where vec_id % 100 = 0), v as (select vec_id, embedding::double[] as e from embeddings),
 s as (select q.vec_id as query_id, v.vec_id as match_id, round(list_cosine_similarity(q.e, v.e), 6) as similarity from q, v where q.vec_id <> v.vec_id),
 r as (select *, row_number() over (partition by query_id order by similarity desc, match_id) as rank from s) """
-_CLASS = _S + """, k as (select query_id, match_id, round(least(1.0, similarity + 0.5), 6) as similarity from r where rank = 1),
-l as (select *, case when similarity >= 0.98 then 'exact' when similarity >= 0.95 then 'high' when similarity >= 0.85 then 'borderline' else 'false_positive' end as category from k) """
+_CLASS = _S + """, k as (select query_id, match_id, similarity from r where rank = 1),
+l as (select *, case when similarity >= 0.48 then 'exact' when similarity >= 0.45 then 'high' when similarity >= 0.35 then 'borderline' else 'false_positive' end as category from k) """
 SQL = {
     "vector_topk": _S + "select query_id, match_id, similarity, rank from r where rank <= 5",
-    "near_duplicate_pairs": _S + "select least(query_id, match_id) as a, greatest(query_id, match_id) as b, max(similarity) as similarity from r where rank <= 20 and similarity >= 0.4 group by 1, 2",
+    "near_duplicate_pairs": """with v as (select vec_id, embedding::double[] as e from embeddings)
+select a.vec_id as a, b.vec_id as b, round(list_cosine_similarity(a.e, b.e), 6) as similarity from v a join v b on a.vec_id < b.vec_id where round(list_cosine_similarity(a.e, b.e), 6) >= 0.4""",
     "duplicate_vs_clean_class": _CLASS + "select query_id, match_id, similarity, category from l",
     "dedup_audit": _CLASS + """, t as (select count(*) filter (category = 'exact') as exact, count(*) filter (category = 'high') as high, count(*) filter (category = 'borderline') as borderline, count(*) filter (category = 'false_positive') as false_positive, count(*) as total from l)
 select *, round((exact + high) * 100 / total, 2) as accuracy_percent, case when round((exact + high) * 100 / total, 2) >= 95 then 'duplicates can be removed' when round((exact + high) * 100 / total, 2) >= 85 then 'check borderline cases first' else 'revise the cleaning rules' end as recommendation from t""",

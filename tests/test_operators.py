@@ -224,3 +224,16 @@ def test_chunk_entries(spark):
     assert j.count() == 2 and j.filter("raw is null").count() == 1
     kinds = spark.createDataFrame([("page", "1"), ("Blogpost", "2"), ("page", "att3"), ("comment", "4"), (None, "5")], "k string, i string")
     assert [r.i for r in kinds.filter(assembly.is_page(F.col("k"), F.col("i"))).collect()] == ["1", "2"]
+
+
+def test_all_sources_of_a_message_are_kept(spark):
+    rows = [("m", k, f"t{k}", "f", "x") for k in range(1, 32)] + [("m", None, "last", "f", "x"), ("m", 1, "t1", "f", "x"), ("n", 2, None, None, None)]
+    got = {r.message_id: r for r in chat.contexts(spark.createDataFrame(rows, "message_id string, rank int, titre string, source_file string, texte string")).collect()}
+    assert got["m"].n_sources == 32 and got["m"].context.startswith("[1] t1 (f)\nx\n") and got["m"].context.endswith("[-] last (f)\nx\n") and "[31] t31" in got["m"].context
+    assert got["n"].context == "[2]  ()\n\n"
+
+
+def test_latest_reads_what_is_asked(spark, tmp_path):
+    spark.createDataFrame([(1, "t" * 50, 3, 1), (1, "u", 4, 2)], "k int, text string, depth int, at int").write.parquet(str(tmp_path / "x"))
+    df = chat.latest(spark.read.parquet(str(tmp_path / "x")), "k", "at", ["depth"])
+    assert [tuple(r) for r in df.collect()] == [(1, 4, 2)] and "text" not in df._jdf.queryExecution().optimizedPlan().toString()
