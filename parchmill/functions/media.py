@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Both spellings of image marks: [IMAGE_12] and [IMAGE: name].
+from . import udfs
+
+#: Patterns of marks. Image marks have both spellings, [IMAGE_12] and [IMAGE: name]. A character other than a line feed is a class, as the dot
+#: leaves out more line ends on the JVM side.
 IMAGE = r"!\[[^\n]*?\]\([^\n]*?\)|<img[^>]*>|\[IMAGE[^\]]*\]|\[IMG[_\d]*\]|<IMAGE[^>]*>"
 TABLE_ROW = r"\|[^\n]+\|[^\n]+\|"
 CODE = r"```[\s\S]*?```|`[^`\n]+`"
@@ -43,13 +46,12 @@ def positions(text: Column, pattern: str, start: Column | None = None, context:
     between = F.split(text, pattern, -1)
     start = F.coalesce(start, F.lit(0)) if start is not None else F.lit(0)
 
-    def offset(i: Column) -> Column:
-        upto = F.slice(between, F.lit(1), i + 1)
-        marks = F.slice(found, F.lit(1), i)
-        return F.aggregate(upto, F.lit(0), lambda s, x: s + F.length(x)) + F.aggregate(marks, F.lit(0), lambda s, x: s + F.length(x))
+    # Each occurrence begins after the texts and marks before it: one running sum of both.
+    steps = F.transform(found, lambda m, i: F.length(F.element_at(between, i + 1)) + F.when(i > 0, F.length(F.element_at(found, i))).otherwise(0))
+    at_each = F.zip_with(udfs.starts(steps), steps, lambda s, n: (s + n).cast("int"))
 
-    def item(marker: Column, i: Column) -> Column:
-        at = offset(i)
+    def item(m: Column, i: Column) -> Column:
+        marker, at = m["marker"], m["at"]
         head = F.substring(text, F.lit(1), at)
         return F.struct(
             marker.alias("marker"), (i + 1).alias("ordinal"), at.alias("char_in_chunk"), (start + at).cast("long").alias("char_absolute"),
@@ -58,7 +60,7 @@ def positions(text: Column, pattern: str, start: Column | None = None, context:
             F.substring(text, at + F.length(marker) + 1, F.lit(context)).alias("after"), F.length(marker).alias("marker_length"),
         )
 
-    return F.transform(found, item)
+    return F.transform(F.arrays_zip(found.alias("marker"), at_each.alias("at")), item)
 
 
 def mark_id(marker: Column, kind: str, ordinal: Column) -> Column:

@@ -20,32 +20,13 @@ def _clamp(x: Column) -> Column:
     return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)))
 
 
-def parse_scores(raw: Column) -> Column:
+def with_scores(df: DataFrame, raw: str, name: str = "scores") -> DataFrame:
     """Struct of the criteria, final_score (always recomputed) and llm_final_score; null where too little can be read.
 
     A complete JSON object with all criteria is read as such. Otherwise each criterion is looked for by itself: a missing fidelity
-    is the mean of the others, any other missing one 0. Values are held within [0, 1].
+    is the mean of the others, any other missing one 0. Values are held within [0, 1]. The column is added in steps, so that each part of the answer is
+    looked for once a row.
     """
-    body = F.regexp_extract(raw, r"(?s)(\{.*\})", 1)
-    whole = F.from_json(F.when(body != "", body), "struct<" + ",".join(f"{c}:double" for c in (*CRITERIA, "final_score")) + ">")
-    complete = {c: _clamp(whole[c]) for c in (*CRITERIA, "final_score")}
-    is_complete = F.lit(True)
-    for c in CRITERIA:
-        is_complete = is_complete & complete[c].isNotNull()
-    part = F.regexp_extract(raw, r"(?s)(\{.*)", 1)
-    found = {c: _clamp(F.regexp_extract(part, rf'"{c}"\s*:\s*([0-9]*\.?[0-9]+)', 1).try_cast("double")) for c in (*CRITERIA, "final_score")}
-    n = sum((found[c].isNotNull().cast("int") for c in CRITERIA), F.lit(0))
-    mean = F.round(F.try_divide(sum((F.coalesce(found[c], F.lit(0.0)) for c in CRITERIA), F.lit(0.0)), n), 3)
-    rescued = {c: F.coalesce(found[c], mean if c == "fidelity" else F.lit(0.0)) for c in CRITERIA}
-
-    def struct(values: dict[str, Column], own: Column) -> Column:
-        return F.struct(*(values[c].alias(c) for c in CRITERIA), weighted(values).alias("final_score"), F.coalesce(own, F.lit(0.0)).alias("llm_final_score"))
-
-    return F.when(is_complete, struct(complete, complete["final_score"])).when(n >= LEAST_CRITERIA, struct(rescued, found["final_score"]))
-
-
-def with_scores(df: DataFrame, raw: str, name: str = "scores") -> DataFrame:
-    """parse_scores as a column added in steps: each part of the answer is looked for once a row, however often it is used after."""
     body = F.regexp_extract(F.col(raw), r"(?s)(\{.*)", 1)
     out = df.withColumn("_part", body).withColumn("_whole", F.from_json(F.regexp_extract("_part", r"(?s)(\{.*\})", 1), "struct<" + ",".join(f"{c}:double" for c in (*CRITERIA, "final_score")) + ">"))
     found = F.struct(*(_clamp(F.regexp_extract("_part", rf'"{c}"\s*:\s*([0-9]*\.?[0-9]+)', 1).try_cast("double")).alias(c) for c in (*CRITERIA, "final_score")))

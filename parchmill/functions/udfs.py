@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, BooleanType, FloatType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, FloatType, IntegerType, LongType, StringType, StructField, StructType
 
 from . import html
 
@@ -32,20 +32,21 @@ MIME = StructType(
 )
 
 
+def _read(data: bytes, charset: str) -> str | None:
+    """The text, None where the charset lacks a byte or much is lost."""
+    text = data.decode(charset, "replace")
+    bad = text.count("�")
+    was = data.count("�".encode()) if charset == "utf-8" else 0  # such characters may be in the file itself
+    return text if bad == was and bad <= len(text) / 100 else None
+
+
 def decode(data: bytes | None) -> str | None:
-    """UTF-8; Windows-1252 where that fails or more than 1 % is lost; line ends and composed characters made uniform."""
+    """UTF-8 or, where that fails or more than 1 % is lost, Windows-1252; UTF-8 with losses where neither fits. Line ends and composed characters made uniform."""
     if data is None:
         return None
-    try:
-        text = bytes(data).decode("utf-8")
-        if text.count("�") > 0.01 * max(len(text), 1):
-            raise UnicodeDecodeError("utf-8", b"", 0, 1, "replacement characters")
-    except UnicodeDecodeError:
-        try:
-            text = bytes(data).decode("cp1252")
-        except UnicodeDecodeError:
-            text = bytes(data).decode("utf-8", "replace")
-    return unicodedata.normalize("NFC", text.translate(WINDOWS).replace("\r\n", "\n").replace("\r", "\n"))
+    fits = next((t for t in (_read(bytes(data), c) for c in ("utf-8", "cp1252")) if t is not None), None)
+    text = bytes(data).decode("utf-8", "replace") if fits is None else fits
+    return unicodedata.normalize("NFC", re.sub("\r\n?", "\n", text.translate(WINDOWS)))
 
 
 def mime_parts(data: bytes | None) -> dict | None:
@@ -82,7 +83,8 @@ def _each(function: Callable, kind):
     return run
 
 
-decoded = _each(decode, StringType())
+composed = _each(lambda x: unicodedata.normalize("NFC", x), StringType())
+starts = _each(lambda sizes: np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)[:-1])) if len(sizes) else [], ArrayType(LongType()))
 cleaned = _each(html.clean, StringType())
 visible_text = _each(html.visible_text, StringType())
 text_lines = _each(html.text_lines, StringType())
@@ -97,6 +99,24 @@ def parsed_mime(s: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({f.name: [r.get(f.name) for r in rows] for f in MIME.fields})
 
 
+#: What the bytes 80 to 9F are in Windows-1252, in order; five are undefined.
+WINDOWS_HIGH = "€\x81‚ƒ„…†‡ˆ‰Š‹Œ\x8dŽ\x8f\x90‘’“”•–—˜™š›œ\x9džŸ"
+
+
+def decoded(content: Column | str) -> Column:
+    """decode() by expressions: validity and charset are tested on the JVM side; only texts with combining marks go to Python."""
+    content = F.col(content) if isinstance(content, str) else content
+    raw = content.cast("string")
+    whole = F.when(F.is_valid_utf8(raw), raw)
+    lost = F.length(whole) - F.length(F.replace(whole, F.lit("\ufffd"), F.lit("")))
+    latin = F.translate(F.decode(content, "ISO-8859-1"), "".join(map(chr, range(0x80, 0xA0))), WINDOWS_HIGH)
+    windows = F.when(~latin.rlike("[\x81\x8d\x8f\x90\x9d]"), latin)
+    text = F.coalesce(F.when(lost * 100 <= F.length(whole), whole), windows, F.make_valid_utf8(raw))
+    named = F.translate(text, "".join(map(chr, WINDOWS)), "".join(WINDOWS.values()))
+    plain = F.regexp_replace(named, "\r\n?", "\n")
+    return F.coalesce(composed(F.when(plain.rlike(r"\p{M}"), plain)), plain)
+
+
 def latin_text(content: Column) -> Column:
     """UTF-8, or Latin-1 where the bytes are none."""
     return F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.decode(content, "ISO-8859-1"))

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..session import cut_lineage
+from .profile import running_total
 
 LEAST_CHARS = 50
 LEAST_WORDS = 10
@@ -72,9 +72,9 @@ def disposition_counts(judged: DataFrame) -> DataFrame:
 
 
 def duplicate_map(judged: DataFrame, id_col: str) -> DataFrame:
-    """original and its duplicates, a row each, numbered in order; a long list stays many rows."""
-    w = W.partitionBy("original").orderBy(id_col)
-    return judged.filter("disposition = 'duplicate'").select("original", F.col(id_col).alias("duplicate"), F.row_number().over(w).alias("ordinal"))
+    """original and its duplicates, a row each, numbered in order by ranges: a page copied a million times is in no single task."""
+    copies = judged.filter("disposition = 'duplicate'").select("original", F.col(id_col).alias("duplicate"), F.lit(1).alias("_1"))
+    return running_total(copies, ["original"], ["duplicate"], "_1", "ordinal").drop("_1")
 
 
 def size_reduction(judged: DataFrame, size: Column) -> DataFrame:

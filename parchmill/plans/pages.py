@@ -139,6 +139,9 @@ def plain_scorer(chunk, original):
     return F.round(0.4 * ends + 0.6 * long_, 4)
 
 
+plain_scorer.reads_original = False
+
+
 def rechunked(spark, d):
     kept = chunking.rechunk(_documents(spark, d), "doc_id", "text", plain_scorer)
     return chunking.numbered(kept).select(F.col("id").alias("doc_id"), "chunk_id", "chunk_no", "total_chunks", "status", "method", "retry_depth", "score", F.length("chunk").alias("chars"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import udfs
 from ..operators import retrieval, vectors
+from ..session import cut_lineage, spread
 
 K = 5
 
@@ -75,15 +76,13 @@ def bm25_topk(spark, d):
 
 
 def hybrid_topk(spark, d):
-    """Keyword scores mixed with those of hashed vectors; the given items are the queries."""
+    """Keyword scores mixed with those of hashed vectors, over all documents; the given items are the queries."""
     docs = spark.read.parquet(f"{d}/documents.parquet")
     embed = udfs.embedder(128)
-    stored = docs.filter("text is not null").select(F.col("doc_id").alias("vec_id"), embed("text").alias("embedding"))
-    # Ids of queries are made negative, so that none is taken for the document of the same number.
-    asked = _asked(spark, d).select((-1 - F.col("item_id")).alias("vec_id"), embed("question").alias("embedding"))
-    dense = vectors.top_k(stored, asked, 20).select((-1 - F.col("query_id")).alias("query_id"), F.col("match_id").alias("doc_id"), "similarity")
-    sparse = retrieval.bm25(docs, "doc_id", "text", _asked(spark, d), "item_id", "question", 20).select("query_id", "doc_id", "score")
-    return retrieval.hybrid(dense, sparse, K).select("query_id", "doc_id", "score", "rank")
+    stored = cut_lineage(spread(docs.filter("text is not null").select("doc_id", "text"), "doc_id").select("doc_id", embed("text").alias("v")))
+    asked = cut_lineage(_asked(spark, d).select(F.col("item_id").alias("query_id"), embed("question").alias("v")))
+    sparse = retrieval.bm25(docs, "doc_id", "text", _asked(spark, d), "item_id", "question", None)
+    return retrieval.hybrid(stored, asked, sparse, K)
 
 
 def _t(spark, d: str, name: str) -> DataFrame:

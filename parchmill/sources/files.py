@@ -124,8 +124,9 @@ def markdown_posts(spark: SparkSession, root: str) -> DataFrame:
     body = F.regexp_replace("value", r"^---\n[\s\S]*?\n---\n?", "")
     entries = F.regexp_extract_all(head, F.lit(r"(?m)^([A-Za-z_][\w-]*\s*:.*)$"), 1)
     unquote = lambda x: F.regexp_replace(F.trim(x), "^[\"']|[\"']$", "")
-    pairs = F.transform(entries, lambda e: F.struct(F.trim(F.substring_index(e, ":", 1)), unquote(F.regexp_replace(e, r"^[^:]*:", ""))))
-    front = F.map_from_entries(F.array_distinct(pairs))
+    pairs = F.transform(entries, lambda e: F.struct(F.trim(F.substring_index(e, ":", 1)).alias("k"), unquote(F.regexp_replace(e, r"^[^:]*:", "")).alias("v")))
+    names = F.array_distinct(F.transform(pairs, lambda x: x["k"]))
+    front = F.map_from_arrays(names, F.transform(names, lambda n: F.element_at(F.filter(pairs, lambda x: x["k"] == n), -1)["v"]))  # the last of several
     inline = F.regexp_extract(head, r"(?m)^tags\s*:\s*\[(.*)\]", 1)
     listed = F.regexp_extract(head, r"(?m)^tags\s*:\s*\n((?:\s*-\s+.*\n?)+)", 1)
     tags = F.filter(F.transform(F.split(F.when(inline != "", inline).otherwise(F.regexp_replace(listed, r"\s*-\s+", ",")), ","), unquote), lambda t: t != "")

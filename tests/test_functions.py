@@ -72,10 +72,8 @@ def test_shares_of_nothing(spark):
     ],
 )
 def test_scores_of_a_judge(spark, raw, expected):
-    s = values(spark, scoring.parse_scores, raw)[0]
+    s = scoring.with_scores(spark.createDataFrame([(raw,)], "x string"), "x").first().scores
     assert (None if s is None else (s.final_score, s.llm_final_score, s.fidelity)) == expected
-    staged = scoring.with_scores(spark.createDataFrame([(raw,)], "x string"), "x").first().scores
-    assert staged == s
 
 
 def test_weights_sum_to_one():
@@ -125,3 +123,17 @@ def test_arrow_functions_keep_nulls(spark):
     assert [r[0] for r in df.select(udfs.visible_text("h")).collect()] == [None, "x"]
     assert len(df.select(udfs.embedder(16)("h").alias("v")).collect()[0].v) == 16
     assert [r[0] for r in df.select(udfs.token_counter(lambda t: 1 // 0)("h")).collect()] == [0, 0]
+
+
+def test_table_text_follows_its_mark():
+    page = "<p>Intro</p><table><tr><th>Code</th><th>Meaning</th></tr><tr><td>7</td><td>secret value</td></tr></table><img src='x/a.png' alt='a plan'><img src='data:image/png;base64,AAAA'><table><tr></tr></table>End"
+    assert html.marked_text(page).split() == "Intro [TABLE: Code, Meaning] Code Meaning 7 secret value [IMAGE: a plan] [IMAGE: img_2] [TABLE: table_2] End".split()
+
+
+def test_lines_of_shown_text():
+    assert html.text_lines("<p> one  two </p>\n\n<p>three\tfour</p>\r\n   <script>x</script>") == "one\ntwo\nthree\tfour" and html.text_lines("") == ""
+
+
+@pytest.mark.parametrize("data", ["é\r\nb\rc".encode(), b"caf\xe9 \x93x\x94", b"", "e\u0301".encode(), b"\x81\xe9", "�".encode() * 2 + b"x" * 500, "�".encode() * 9 + b"x", b"\xa0a"])
+def test_decoding_by_expressions_is_the_same(spark, data):
+    assert spark.createDataFrame([(data,), (None,)], "c binary").select(udfs.decoded("c")).collect()[0][0] == udfs.decode(data)

@@ -236,4 +236,28 @@ def test_all_sources_of_a_message_are_kept(spark):
 def test_latest_reads_what_is_asked(spark, tmp_path):
     spark.createDataFrame([(1, "t" * 50, 3, 1), (1, "u", 4, 2)], "k int, text string, depth int, at int").write.parquet(str(tmp_path / "x"))
     df = chat.latest(spark.read.parquet(str(tmp_path / "x")), "k", "at", ["depth"])
-    assert [tuple(r) for r in df.collect()] == [(1, 4, 2)] and "text" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in df.collect()] == [(1, 4, 2)] and "text:string" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hybrid_equals_brute_force(spark):
+    from parchmill.functions.udfs import hashed_embedding
+
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(rng.choice(words, rng.integers(1, 30))) for _ in range(120)] + ["", "zzz"]
+    asked = [" ".join(rng.choice(words, 4)) for _ in range(6)] + ["nothing at all"]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(900, None)], "doc_id long, text string")
+    queries = spark.createDataFrame(list(enumerate(asked)), "q int, text string")
+    vec = lambda t: [float(x) for x in hashed_embedding(t, 16)]
+    dv = spark.createDataFrame([(i, vec(t)) for i, t in enumerate(texts)], "doc_id long, v array<float>")
+    qv = spark.createDataFrame([(i, vec(t)) for i, t in enumerate(asked)], "query_id int, v array<float>")
+    sparse = retrieval.bm25(docs, "doc_id", "text", queries, "q", "text", None)
+    scores = {(r.query_id, r.doc_id): r.score for r in sparse.collect()}
+    cos = lambda a, b: float(np.dot(a, b) / max(np.linalg.norm(a) * np.linalg.norm(b), 1e-30))
+    got = {}
+    for r in retrieval.hybrid(dv, qv, sparse, 5, near=6).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.score))
+    for q, t in enumerate(asked):
+        best = max([s for (a, _), s in scores.items() if a == q], default=1)
+        every = sorted((round(0.7 * round(cos(np.array(vec(t)), np.array(vec(x))), 6) + 0.3 * scores.get((q, i), 0) / best, 4) for i, x in enumerate(texts)), reverse=True)[:5]
+        assert np.allclose([s for _, s in sorted(got[q])], every, atol=2e-4), q
