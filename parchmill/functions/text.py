@@ -201,3 +201,27 @@ def share(part: Column, whole: Column, digits: int = 4) -> Column:
 
 def percent(part: Column, whole: Column, digits: int = 1) -> Column:
     return F.round(F.coalesce(F.try_divide(part * 100, whole), F.lit(0.0)), digits)
+
+
+#: Entities that help pages use, and the characters they stand for.
+ENTITIES = (("&nbsp;", " "), ("&eacute;", "é"), ("&egrave;", "è"), ("&agrave;", "à"), ("&ccedil;", "ç"), ("&uuml;", "ü"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+
+
+def entities_decoded(text: Column) -> Column:
+    """The usual entities decoded, special blanks and characters without width made plain, by expressions; udfs.cleaned knows all entities."""
+    for entity, plain in ENTITIES:
+        text = F.replace(text, F.lit(entity), F.lit(plain))
+    return collapse(F.regexp_replace(F.regexp_replace(text, "[\u00a0\u2009\u202f]", " "), "[\u200b-\u200d\ufeff]", ""))
+
+
+def error_message(body: Column) -> Column:
+    """What an error body says: its detail, or else its first entry as `field: message`, of a list the first; null for no object."""
+    fields = F.from_json(body, "map<string,string>")
+    first = F.element_at(F.map_entries(fields), 1)
+    said = F.coalesce(F.get_json_object(first["value"], "$[0]"), first["value"])
+    return F.when(F.size(fields) > 0, F.coalesce(F.element_at(fields, "detail"), F.concat(first["key"], F.lit(": "), said)))
+
+
+def prepended(values: Column, item: Column, most: int) -> Column:
+    """The item before the values, at most so many of them."""
+    return F.slice(F.concat(F.array(item), values), 1, most)

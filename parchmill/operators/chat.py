@@ -169,3 +169,18 @@ def patched(rows: DataFrame, patches: DataFrame, key: str, columns: Sequence[str
     for c in columns:
         out = out.withColumn(c, F.coalesce(f"_p_{c}", c))
     return out.drop(*[f"_p_{c}" for c in columns])
+
+
+def facets(df: DataFrame, equal: dict[str, object], time: str | None = None, since: Column | None = None, until: Column | None = None) -> DataFrame:
+    """Rows with the given values, and within [since, until) by time: filters that reach the scan."""
+    for name, value in equal.items():
+        df = df.filter(F.col(name) == value)
+    if since is not None:
+        df = df.filter(F.col(time) >= since)
+    return df if until is None else df.filter(F.col(time) < until)
+
+
+def payloads(retrieved: DataFrame) -> DataFrame:
+    """Retrieved rows as a client gets them: flat fields, scores to 3 digits, and what is known of the chunk nested below raw_meta."""
+    meta = F.from_json("raw_meta", "chunk_id long")
+    return retrieved.select("message_id", "retrieved_id", F.coalesce("titre", F.lit("")).alias("title"), F.col("texte").alias("text"), F.col("source_file").alias("source"), F.round("score", 3).alias("score"), meta.alias("raw_meta"))

@@ -97,3 +97,17 @@ def counts_by_each(df: DataFrame, *keys: str) -> DataFrame:
     view = df.select(*keys)
     sets = ", ".join(f"({k})" for k in keys)
     return df.sparkSession.sql(f"select {', '.join(keys)}, count(*) as n from {{df}} group by grouping sets ({sets}, ())", df=view)
+
+
+def listing(df: DataFrame, key: str) -> DataFrame:
+    """Counts by key, the greatest first, ties by key."""
+    return histogram(df, key).orderBy(F.desc("n"), key)
+
+
+def status_by_file(chunks: DataFrame, file: str, status: str = "validation_status") -> DataFrame:
+    """Chunks of each file, and how many of each status."""
+    s = F.col(status)
+    return chunks.groupBy(file).agg(
+        F.count(F.lit(1)).alias("n_chunks"), F.count_if(s == "accepted").alias("accepted"), F.count_if(s == "accepted_max_depth").alias("accepted_max_depth"),
+        F.count_if(~F.coalesce(s.isin(*ACCEPTED), F.lit(False))).alias("other"),
+    )

@@ -29,7 +29,7 @@ def _messages(spark, d: str, *columns: str):
 def conversation_list(spark, d):
     live = _conversations(spark, d).filter("not is_deleted")
     counted = chat.message_counts(live, _messages(spark, d, "conversation_id"))
-    return counted.select("conversation_id", "user_id", "message_count", F.unix_micros("updated_at").alias("updated_us"))
+    return counted.select("conversation_id", "user_id", "message_count", F.unix_micros("updated_at").alias("updated_us")).orderBy(F.desc("updated_us"), "conversation_id")
 
 
 def conversation_nested(spark, d):
@@ -136,11 +136,37 @@ def user_activity(spark, d):
     return j.groupBy("user_id").agg(F.countDistinct("conversation_id").alias("conversations"), F.count(F.lit(1)).alias("messages"))
 
 
+def message_facets(spark, d):
+    since, until = (F.lit(x).cast("timestamp") for x in ("2025-03-01", "2025-09-01"))
+    m = chat.facets(_messages(spark, d, "role", "created_at"), {"role": "user"}, "created_at", since, until)
+    return m.select("message_id", F.unix_micros("created_at").alias("created_us"))
+
+
+def retrieved_payloads(spark, d):
+    p = chat.payloads(_table(spark, d, "retrieved_chunks").select("message_id", "retrieved_id", "titre", "texte", "source_file", "score", "raw_meta").distinct())
+    return p.select("message_id", "retrieved_id", "title", "source", "score", F.col("raw_meta.chunk_id").alias("chunk_id"), F.md5("text").alias("text_md5"))
+
+
+def recent_by_user(spark, d):
+    """The title of each user's last conversation before those of the others, three at most, in order of time."""
+    c = _conversations(spark, d).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(F.unix_micros("created_at").alias("t"), "conversation_id"))).alias("own"), F.max_by("conversation_id", F.struct("updated_at", "conversation_id")).alias("last"))
+    ids = F.filter(F.transform("own", lambda x: x["conversation_id"]), lambda x: x != F.col("last"))
+    return c.select("user_id", F.array_join(tx.prepended(ids, F.col("last"), 3), ",").alias("recent"))
+
+
+def error_messages(spark, d):
+    """What bodies of errors say, made of the comments of the feedback."""
+    c = F.regexp_replace("comment", r"[^A-Za-z ]", "")
+    kind = F.pmod(F.length("feedback_id") + F.length(c), F.lit(4))
+    body = F.when(kind == 0, F.concat(F.lit('{"detail": "'), c, F.lit('"}'))).when(kind == 1, F.concat(F.lit('{"rating": ["'), c, F.lit('", "x"]}'))).when(kind == 2, F.concat(F.lit('{"rating": "'), c, F.lit('"}'))).otherwise(c)
+    return _table(spark, d, "feedback").filter("comment is not null").select("feedback_id", tx.error_message(body).alias("message"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         conversation_list, conversation_nested, first_user_message, stale_or_empty_conversations, message_search, message_page, message_checks, role_map, prompt_contexts, soft_delete_projection, feedback_analytics,
-        rating_distribution, issue_breakdown, recent_comments, feedback_upsert_latest, feedback_checks, feedback_rateable, rate_limit_windows, latency_by_window, payload_fields, user_activity,
+        rating_distribution, issue_breakdown, recent_comments, feedback_upsert_latest, feedback_checks, feedback_rateable, rate_limit_windows, latency_by_window, payload_fields, user_activity, message_facets, retrieved_payloads, recent_by_user, error_messages,
     )
 }
 
@@ -149,6 +175,12 @@ m as (select * from chat_messages qualify row_number() over (partition by messag
 _LASTV = "arg_max({0}, {{'t': submitted_at, 'i': feedback_id}}) filter ({0} is not null and trim({0}::varchar) <> '') as {0}"
 _STALE = "c.conversation_id not in (select conversation_id from m) and created_at < timestamptz '2025-12-30 23:55:00+00'"
 SQL = {
+    "message_facets": _B + "select message_id, epoch_us(m.created_at) as created_us from m where role = 'user' and m.created_at >= timestamptz '2025-03-01 00:00:00+00' and m.created_at < timestamptz '2025-09-01 00:00:00+00'",
+    "retrieved_payloads": "select message_id, retrieved_id, coalesce(titre, '') as title, source_file as source, round(score, 3) as score, (raw_meta->>'$.chunk_id')::bigint as chunk_id, md5(texte) as text_md5 from (select distinct message_id, retrieved_id, titre, texte, source_file, score, raw_meta from retrieved_chunks)",
+    "recent_by_user": _B + """, l as (select user_id, arg_max(conversation_id, {'t': updated_at, 'c': conversation_id}) as last from c group by 1)
+select user_id, array_to_string((list_prepend(last, list_filter(list(conversation_id order by created_at nulls first, conversation_id), lambda x: x <> last)))[1:3], ',') as recent from c join l using (user_id) group by user_id, last""",
+    "error_messages": """with f as (select feedback_id, regexp_replace(comment, '[^A-Za-z ]', '', 'g') as c from feedback where comment is not null), k as (select *, (length(feedback_id) + length(c)) % 4 as k from f)
+select feedback_id, case k when 0 then c when 1 then 'rating: ' || c when 2 then 'rating: ' || c end as message from k""",
     "conversation_list": _B + "select c.conversation_id, user_id, count(m.message_id) as message_count, epoch_us(any_value(updated_at)) as updated_us from c left join m using (conversation_id) where not is_deleted group by 1, 2",
     "conversation_nested": _B + """, r as (select message_id, count(distinct retrieved_id) as k from retrieved_chunks group by 1)
 select conversation_id, count(*) as n, string_agg(message_id, ',' order by created_at nulls first, message_id) as message_ids, coalesce(sum(k), 0)::bigint as n_sources from m left join r using (message_id) group by 1""",

@@ -100,11 +100,22 @@ def retrieval_ranks(spark, d):
     return r.withColumn("rank", F.row_number().over(w)).filter("rank <= 3").select("message_id", "retrieved_id", "rank", F.round("score", 4).alias("score"))
 
 
+def status_by_file(spark, d):
+    return profile.status_by_file(_chunks(spark, d, "relative_path", "validation_status"), "relative_path")
+
+
+def report_by_folder(spark, d):
+    """Chunks, files and tokens of each folder, and in all how many folders."""
+    c = _chunks(spark, d, "folder_path", "relative_path", "token_count")
+    per = c.groupBy("folder_path").agg(F.count(F.lit(1)).alias("n_chunks"), F.countDistinct("relative_path").alias("files"), F.sum("token_count").alias("tokens"))
+    return per.crossJoin(F.broadcast(c.agg(F.countDistinct("folder_path").alias("folders"))))  # one row
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         chunk_features, chunk_types, strategy_acceptance, retry_histogram, boundary_fraction, per_file_report, global_chunk_report, running_tokens_per_file, chunk_ordinals, accepted_by_folder,
-        media_grouping_sets, judge_scores, retrieved_positions, retrieval_ranks,
+        media_grouping_sets, judge_scores, retrieved_positions, retrieval_ranks, status_by_file, report_by_folder,
     )
 }
 
@@ -114,6 +125,8 @@ _OK = "validation_status in ('accepted', 'accepted_max_depth')"
 _IMG = r"(?i)!\[[^\n]*?\]\([^\n]*?\)|<img[^>]*>|\[IMAGE[^\]]*\]|\[IMG[_\d]*\]|<IMAGE[^>]*>"
 _COD = r"```[\s\S]*?```|`[^`\n]+`"
 SQL = {
+    "status_by_file": _C + f"select relative_path, count(*) as n_chunks, count(*) filter (validation_status = 'accepted') as accepted, count(*) filter (validation_status = 'accepted_max_depth') as accepted_max_depth, count(*) filter (not coalesce({_OK}, false)) as other from c group by 1",
+    "report_by_folder": _C + "select folder_path, count(*) as n_chunks, count(distinct relative_path) as files, sum(token_count)::bigint as tokens, (select count(distinct folder_path) from c) as folders from c group by 1",
     "chunk_features": _C + rf""", f as (select chunk_id, len(regexp_extract_all(text, '{_IMG}')) as i, regexp_extract_all(text, '\|[^\n]+\|[^\n]+\|') as t, len(regexp_extract_all(text, '{_COD}')) as k from c)
 select chunk_id, i as total_images, len(t) as total_tables, k as total_code_blocks, i > 0 or len(t) > 0 as has_media, case when k > 0 then 'code' when len(t) > 0 then 'table' when i > 0 then 'image_section' else 'text' end as content_type,
  md5(array_to_string(t[1:10], chr(10))) as rows_md5 from f""",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import media
 from ..functions import text as tx
 from ..operators import assembly, chunking, pairing, profile, quality
+from . import chunk_sql
 
 
 def _documents(spark, d: str) -> DataFrame:
@@ -164,12 +165,61 @@ def image_positions(spark, d):
     return p.select("doc_id", "p.ordinal", "p.char_in_chunk", "p.line_number", "p.marker_length", media.mark_id(F.col("p.marker"), "IMAGE", F.col("p.ordinal")).alias("image_id"), F.md5("p.before").alias("before_md5"), F.md5("p.after").alias("after_md5"))
 
 
+def bounds_enforced(spark, d):
+    return chunking.bounded_lines(_documents(spark, d), "doc_id", "text").select(F.col("id").alias("doc_id"), "chunk_no", F.md5("chunk").alias("chunk_md5"))
+
+
+def duplicate_report_rows(spark, d):
+    """Each duplicate with the file of its original."""
+    docs = _documents(spark, d)
+    judged = quality.dispositions(docs.select("doc_id", "text", "has_images", "relative_path"), "text", "doc_id", "has_images", ["relative_path"]).filter("disposition = 'duplicate'")
+    return judged.join(docs.select(F.col("doc_id").alias("original"), F.col("relative_path").alias("original_path")), "original").select("doc_id", "original", "relative_path", "original_path")
+
+
+def html_entity_clean(spark, d):
+    return _documents(spark, d).select("doc_id", F.md5(tx.entities_decoded(F.concat(F.lit("a&nbsp;&amp;&eacute; "), F.col("text")))).alias("clean_md5"))
+
+
+def _paired(spark, d):
+    """Pages as texts and pages with images as their companions, by folder and source file."""
+    docs = _documents(spark, d).filter("doc_id is not null").select("doc_id", "folder_name", "source_file", "has_images")
+    return docs.filter("not coalesce(has_images, false)").drop("has_images"), docs.filter("has_images").drop("has_images")
+
+
+def companion_pairing(spark, d):
+    a, b = _paired(spark, d)
+    return pairing.with_companion(a, b, ["folder_name", "source_file"], "doc_id").select("doc_id", "companion")
+
+
+def standalone_anti(spark, d):
+    a, b = _paired(spark, d)
+    return pairing.standalone(b, a, ["folder_name", "source_file"]).select("doc_id")
+
+
+def _sentences(df, key: str):
+    """(key, sentence): distinct sentences of five words or more, lower-cased, blanks made one."""
+    parts = F.split(F.regexp_replace(tx.collapse(F.lower("text")), r"([.!?]) ", "$1\u0001"), "\u0001")
+    return df.filter("text is not null").select(key, F.explode(parts).alias("sentence")).filter(F.size(F.split("sentence", " ")) >= 5).distinct()
+
+
+def benchmark_contamination(spark, d):
+    """Documents that hold whole sentences of an evaluation item, and how many."""
+    items = spark.read.parquet(f"{d}/eval_items.parquet").select("item_id", "text")
+    held = _sentences(_documents(spark, d).select("doc_id", "text"), "doc_id").join(_sentences(items, "item_id"), "sentence")
+    return held.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_sentences"))
+
+
+def folder_listing(spark, d):
+    return profile.listing(_documents(spark, d), "folder_name")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         clean_disposition_counts, useless_reason_rows, exact_dedup_first_wins, duplicates_map, corpus_size_reduction, url_share_rows, page_visible_text, content_keys, path_parts, page_slugs, safe_names,
         token_counts, token_profile_rollup, token_percentiles, token_rank_listing, running_tokens_per_source, counts_grouping_sets, line_offsets, page_sections, semantic_units, force_split_chunks,
         sentence_chunks, smaller_chunks, paragraph_chunks, recursive_chunks, semantic_chunks, rechunked, chunk_entries, incremental_pending, image_positions,
+        bounds_enforced, duplicate_report_rows, html_entity_clean, companion_pairing, standalone_anti, benchmark_contamination, folder_listing,
     )
 }
 
@@ -192,7 +242,24 @@ _BLOCK = r"""case when contains({0}, '[CODE') or contains({0}, '```') or regexp_
  when contains({0}, '[TABLE') or length({0}) - length(replace({0}, '|', '')) >= 4 then 'table' when regexp_matches({0}, '(?m)^[ \t]*[-*•][ \t]') then 'bullet_list'
  when regexp_matches({0}, '(?m)^[ \t]*\d+[.)][ \t]') then 'numbered_list' when contains({0}, '[IMAGE') then 'image_section' else 'prose' end"""
 
+def _entities(sql: str) -> str:
+    for entity, plain in tx.ENTITIES:
+        sql = f"replace({sql}, '{entity}', '{plain.replace(chr(39), chr(39) * 2)}')"
+    return sql
+
+
+_SENTENCE = r"select distinct {0}, s as sentence from (select {0}, unnest(string_split(regexp_replace(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), '([.!?]) ', '\1' || chr(1), 'g'), chr(1))) as s from {1} where text is not null) where len(string_split(s, ' ')) >= 5"
 SQL = {
+    "sentence_chunks": chunk_sql.sentences(chunking.MOST),
+    "smaller_chunks": chunk_sql.sentences(chunking.SMALLER),
+    "paragraph_chunks": chunk_sql.paragraphs(),
+    "bounds_enforced": chunk_sql.lines_bounded(),
+    "duplicate_report_rows": _JUDGED + "select j.doc_id, j.original, a.relative_path, b.relative_path as original_path from j join documents a using (doc_id) join documents b on b.doc_id = j.original where disposition = 'duplicate'",
+    "html_entity_clean": "select doc_id, md5(" + _C.replace("{0}", "regexp_replace(regexp_replace(" + _entities("('a&nbsp;&amp;&eacute; ' || text)") + r", '[\x{a0}\x{2009}\x{202f}]', ' ', 'g'), '[\x{200b}-\x{200d}\x{feff}]', '', 'g')") + ") as clean_md5 from documents",
+    "companion_pairing": "select doc_id, (select min(b.doc_id) from documents b where b.has_images and b.folder_name = a.folder_name and b.source_file = a.source_file) as companion from documents a where not coalesce(has_images, false)",
+    "standalone_anti": "select doc_id from documents a where has_images and not exists (select 1 from documents b where not coalesce(b.has_images, false) and b.folder_name = a.folder_name and b.source_file = a.source_file)",
+    "benchmark_contamination": f"with d as ({_SENTENCE.format('doc_id', 'documents')}), i as ({_SENTENCE.format('item_id', 'eval_items')}) select doc_id, item_id, count(*) as n_sentences from d join i using (sentence) group by 1, 2",
+    "folder_listing": "select folder_name, count(*) as n from documents group by 1",
     "clean_disposition_counts": _JUDGED + "select disposition, count(*) as n from j group by 1",
     "useless_reason_rows": _JUDGED + "select doc_id, reason from j where reason is not null",
     "exact_dedup_first_wins": _JUDGED + "select doc_id, disposition from j where disposition like 'kept%'",

@@ -143,6 +143,11 @@ def posts_in_order(posts: DataFrame) -> DataFrame:
     return posts.orderBy(F.desc_nulls_last("date"), "slug")
 
 
+def post_by_slug(posts: DataFrame, slug: str) -> DataFrame:
+    """The post of a slug, no row where there is none."""
+    return posts.filter(F.col("slug") == slug).limit(1)
+
+
 def latest_change(files: DataFrame) -> DataFrame:
     """Routes with their last change, and the start page with the last of all."""
     each = files.select(tx.route(F.col("relative_path")).alias("route"), F.col("modificationTime").alias("changed"))
