@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -17,7 +18,8 @@ BLOCK_QUERIES = 4_096
 #: Rows the index is fitted on at most, and its default shape.
 SAMPLE_ROWS = 20_000
 LISTS = 16
-PROBES = 13
+#: Share of the lists that a query goes to.
+PROBE_SHARE = 0.8
 #: Rows of a list that one task takes on; longer lists are split.
 LIST_ROWS = 50_000
 #: Rows of a block of the self-join; each pair of blocks is a task.
@@ -89,8 +91,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id"
     return _best(out, k, threshold)
 
 
-def fit_centres(vectors: DataFrame, vector_col: str = "embedding", lists: int = LISTS, rows: int = SAMPLE_ROWS, seed: int = 7) -> np.ndarray:
-    """Centres of the index by k-means, on a sample of at most rows rows."""
+def fit_centres(vectors: DataFrame, vector_col: str = "embedding", lists: int | None = None, rows: int = SAMPLE_ROWS, seed: int = 7) -> np.ndarray:
+    """Centres of the index by k-means, on a sample of at most rows rows. Without a number, lists grow as the square root of the number of vectors, up to
+    a fifth of the sample, and are LISTS at least."""
+    if lists is None:
+        lists = max(LISTS, min(math.isqrt(vectors.count()), rows // 5))
     sample = vectors.select(vector_col).filter(F.col(vector_col).isNotNull()).orderBy(F.xxhash64(F.col(vector_col))).limit(rows).collect()
     m = _unit([r[0] for r in sample])
     rng = np.random.default_rng(seed)
@@ -102,9 +107,10 @@ def fit_centres(vectors: DataFrame, vector_col: str = "embedding", lists: int =
     return centres
 
 
-def indexed_top_k(vectors: DataFrame, queries: DataFrame, k: int, centres: np.ndarray, id_col: str = "vec_id", vector_col: str = "embedding", probes: int = PROBES) -> DataFrame:
+def indexed_top_k(vectors: DataFrame, queries: DataFrame, k: int, centres: np.ndarray, id_col: str = "vec_id", vector_col: str = "embedding", probes: int | None = None) -> DataFrame:
     """As top_k, but each query against the lists of its nearest centres only. Every row is in the index; long lists are split, and
-    a query goes to all parts of its lists."""
+    a query goes to all parts of its lists. probes: lists a query, PROBE_SHARE of them if none is given."""
+    probes = probes or math.ceil(PROBE_SHARE * len(centres))
     kind = vectors.schema[id_col].dataType.simpleString()
 
     def assigner(n: int):

@@ -93,5 +93,39 @@ def upsert(spark, fresh: DataFrame, path: str, key: str) -> DataFrame:
     return replaced(spark.read.parquet(path), fresh, key)
 
 
+def write_upsert(spark, fresh: DataFrame, path: str, key: str, parts: int = 64) -> None:
+    """Fresh rows in place of those of the same key, in a store cut into parts by hash of the key: only the parts that fresh rows fall into are
+    read and written. A store that isn't there yet is made. A write that fails before the parts are swapped leaves the old store."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    part = F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+    marked = fresh.withColumn("part", part)
+    if not fs.exists(at(path)):
+        marked.write.partitionBy("part").parquet(path)
+        return
+    touched = sorted(r[0] for r in marked.select("part").distinct().collect())  # at most `parts`
+    old = spark.read.parquet(path).filter(F.col("part").isin(touched)).drop("part")
+    aside = f"{path.rstrip('/')}.new"
+    old.join(fresh.select(key).distinct(), key, "left_anti").unionByName(fresh, allowMissingColumns=True).withColumn("part", part).write.mode("overwrite").partitionBy("part").parquet(aside)
+    for n in touched:
+        here, there = at(f"{path}/part={n}"), at(f"{path}/_part={n}.old")
+        if fs.exists(here):
+            fs.rename(here, there)
+        fs.rename(at(f"{aside}/part={n}"), here)
+        fs.delete(there, True)
+    fs.delete(at(aside), True)
+
+
+def write_per_file(chunks: DataFrame, path: str, folder: str = "folder_path", file: str = "source_file", key: str = "chunk_id", text: str = "text") -> None:
+    """For each file, below its folder, its chunks as text with a header each and their fields as JSON lines: chunks/ and meta/, partitioned by folder and file."""
+    keys = [folder, file]
+    body = F.concat(F.format_string("--- Chunk %d ---\n", key), F.col(text), F.lit("\n"))
+    fields = F.to_json(F.struct(*[c for c in chunks.columns if c not in (*keys, text)]))
+    for name, value in (("chunks", body), ("meta", fields)):
+        # Sorted within the tasks, which take ranges of (file, chunk): a file with a third of all chunks is several parts in order.
+        chunks.select(*keys, key, value.alias("value")).repartitionByRange(*keys, key).sortWithinPartitions(*keys, key).drop(key).write.mode("overwrite").partitionBy(*keys).text(f"{path}/{name}")
+
+
 def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)

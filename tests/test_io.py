@@ -91,3 +91,60 @@ def test_windows_on_a_stream_equal_the_batch(spark, tmp_path):
     q = incremental.rate_limited(stream, "user_id", "ts", 1).writeStream.outputMode("update").format("memory").queryName("limited").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r.window_start, r.n) for r in spark.table("limited").collect()} == batch and len(batch) == 2
+
+
+def test_store_writes_what_changed_and_counts_on(spark, tmp_path):
+    store = incremental.CorpusStore(spark, str(tmp_path / "s"), "k", "d", "n", ("k",))
+    frame = lambda rows: spark.createDataFrame(rows, "k string, d string, modificationTime int")
+    process = lambda f: f.select("k", F.upper("d").alias("text"))
+    assert store.read("rows") is None and store.next_id() == 1
+    assert store.apply(frame([("a", "z", 1), ("a", "x", 2), ("b", "y", 1)]), process) == {"new": 2}
+    assert store.apply(frame([("c", "w", 1), ("b", "yy", 3), ("a", "x", 9)]), process) == {"new": 1, "changed": 1, "unchanged": 1}
+    rows = lambda: sorted((r.k, r.text, r.n) for r in store.read("rows").collect())
+    assert rows() == [("a", "X", 1), ("b", "YY", 3), ("c", "W", 4)] and store.next_id() == 5
+    assert spark.read.parquet(str(tmp_path / "s" / "v2" / "rows")).count() == 2
+    store.compact()
+    assert rows() == [("a", "X", 1), ("b", "YY", 3), ("c", "W", 4)] and store.next_id() == 5 and store.version() == 3 and not (tmp_path / "s" / "v1").exists()
+    assert store.apply(frame([("d", "q", 1)]), process) == {"new": 1} and rows()[-1] == ("d", "Q", 5)
+
+
+def test_upsert_rewrites_touched_parts_only(spark, tmp_path):
+    path = str(tmp_path / "u")
+    sinks.write_upsert(spark, spark.range(40).select("id", F.lit("old").alias("v")), path, "id", parts=8)
+    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "u").rglob("*.parquet")}
+    sinks.write_upsert(spark, spark.createDataFrame([(3, "new"), (99, "new")], "id long, v string"), path, "id", parts=8)
+    got = {r.id: r.v for r in spark.read.parquet(path).collect()}
+    assert len(got) == 41 and got[3] == got[99] == "new" and got[4] == "old"
+    assert sum(f.exists() and f.stat().st_mtime_ns == t for f, t in before.items()) >= len(before) - 2
+
+
+def test_outputs_per_file(spark, tmp_path):
+    chunks = spark.createDataFrame([("f/g", "x.txt", 2, "two", 5), ("f/g", "x.txt", 1, "one", 4), ("f", "y.txt", 3, "three", 6)], "folder_path string, source_file string, chunk_id long, text string, tokens int")
+    sinks.write_per_file(chunks, str(tmp_path))
+    back = spark.read.text(str(tmp_path / "chunks")).filter("source_file = 'x.txt'").collect()
+    assert [r.value for r in back if r.value] == ["--- Chunk 1 ---", "one", "--- Chunk 2 ---", "two"]
+    meta = spark.read.text(str(tmp_path / "meta")).filter("source_file = 'y.txt'").first()
+    assert json.loads(meta.value) == {"chunk_id": 3, "tokens": 6}
+
+
+def test_timers_of_stale_keys_and_late_events(spark, tmp_path):
+    schema = "user_id int, ts timestamp"
+    def feed(n, rows):
+        spark.createDataFrame([(u, t) for u, t in rows], "user_id int, ts string").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.parquet(str(tmp_path / "in" / f"b{n}"))
+    feed(1, [(1, "2025-01-01 00:00:00"), (2, "2025-01-01 00:00:30")])
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", "1").parquet(str(tmp_path / "in"))
+    def run():
+        q = incremental.stale_keys(stream, "user_id", "ts").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        return sorted((r.user_id, str(r.last_seen)) for r in spark.read.schema("user_id int, last_seen timestamp").parquet(str(tmp_path / "out")).collect())
+    assert run() == []
+    feed(2, [(2, "2025-01-01 00:20:00"), (1, "2024-12-31 23:00:00")])  # the second is late
+    feed(3, [(3, "2025-01-01 00:21:00")])
+    got = run()
+    assert (1, "2025-01-01 00:00:00") in got and not any(u == 3 for u, _ in got)
+
+
+def test_markdown_heads_with_a_key_twice(spark, tmp_path):
+    write(tmp_path / "content/a.md", "---\ntitle: one\ntitle: two\n---\nBody")
+    posts = sources.markdown_posts(spark, str(tmp_path))
+    assert posts.first().title == "two" and sources.post_by_slug(posts, "a").count() == 1 and sources.post_by_slug(posts, "zz").count() == 0

@@ -261,3 +261,24 @@ def test_hybrid_equals_brute_force(spark):
         best = max([s for (a, _), s in scores.items() if a == q], default=1)
         every = sorted((round(0.7 * round(cos(np.array(vec(t)), np.array(vec(x))), 6) + 0.3 * scores.get((q, i), 0) / best, 4) for i, x in enumerate(texts)), reverse=True)[:5]
         assert np.allclose([s for _, s in sorted(got[q])], every, atol=2e-4), q
+
+
+def test_small_operators(spark):
+    c = spark.createDataFrame([("1", "u", "t", False), ("2", "v", "s", False), ("3", "u", "r", True)], "conversation_id string, user_id string, title string, is_deleted boolean").withColumn("updated_at", F.lit("2025-01-01").cast("timestamp"))
+    now = F.lit("2025-02-01").cast("timestamp")
+    assert [r.conversation_id for r in chat.owned(c, "u").collect()] == ["1"]
+    titles = spark.createDataFrame([("1", "new"), ("2", "  "), ("9", "x")], "conversation_id string, title string")
+    assert {r.conversation_id: r.title for r in chat.renamed(c, titles, now).collect()} == {"1": "new", "2": "s", "3": "r"}
+    assert chat.created(titles.select("conversation_id"), "u", now).filter("not is_deleted and user_id = 'u'").count() == 3
+    patch = spark.createDataFrame([("1", "p")], "conversation_id string, title string")
+    assert {r.title for r in chat.patched(c, patch, "conversation_id", ["title"]).collect()} == {"p", "s", "r"}
+    assert c.filter(chat.equal_ignoring_case(F.col("title"), F.lit("T"))).count() == 1
+    kids = spark.createDataFrame([("1", "a"), ("3", "b"), (None, "c")], "conversation_id string, m string")
+    assert {r.m for r in pairing.with_descendants(c.filter("is_deleted"), kids, "conversation_id").collect()} == {"b"}
+    marks = spark.createDataFrame([("f", "[I]"), ("f", "[J]")], "f string, marker string")
+    found = spark.createDataFrame([("f", "[I]", "data"), ("f", "[I]", "data")], "f string, marker string, item string")
+    assert {r.marker: r.item for r in pairing.matched_media(marks, found, ["f", "marker"]).collect()} == {"[I]": "data", "[J]": None}
+    metas, one, two = (spark.createDataFrame(x, "k string, p string") for x in ([("a", "m"), ("b", "m"), ("c", "m")], [("a", "1")], [("a", "2"), ("b", "2")]))
+    assert {r.k: r.text_path for r in pairing.paired_with_fallback(metas, one, two, ["k"], "p").collect()} == {"a": "1", "b": "2"}
+    pages = spark.createDataFrame([(1, "<table><tr><th>a<th>b</tr><tr><td>1<td>2</tr></table>"), (2, "")], "id int, h string")
+    assert tables.table_statistics(tables.table_rows(pages, "id", "h"), pages).first()[:] == (1, 1, 2, 2)
