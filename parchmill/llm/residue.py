@@ -54,8 +54,8 @@ _HTML = re.compile(r"<(?:html|body)\b", re.IGNORECASE)
 _NAME = r"[A-Za-z]\w*(?:[._]\w+)*"
 #: What stands between brackets or between template marks that fit each other.
 _SPAN = re.compile(
-    rf"\{{\{{[^{{}}\n]+\}}\}}|\$\{{[^{{}}\n]+\}}|\{{%[^{{}}\n]+%\}}|\{{[^{{}}\n]+\}}|\[\[[^\[\]\n]+\]\]|\[[^\[\]\n]+\]|<<[^<>\n]+>>|<%[^<>\n]+%>|<!--[^<>\n]+-->|<[^<>\n]+>"
-    rf"|(?P<m>%%?|##?|~|\$\$?|@@?){_NAME}(?P=m)|&{_NAME};|(?<!\w)__[A-Za-z](?:\w*[A-Za-z])?__(?!\w)|\([^()\n]+\)"
+    rf"(?=[{{$\[<%#~@&_(])(?:\{{\{{[^{{}}\n]+\}}\}}|\$\{{[^{{}}\n]+\}}|\{{%[^{{}}\n]+%\}}|\{{[^{{}}\n]+\}}|\[\[[^\[\]\n]+\]\]|\[[^\[\]\n]+\]|<<[^<>\n]+>>|<%[^<>\n]+%>|<!--[^<>\n]+-->|<[^<>\n]+>"
+    rf"|(?P<m>%%?|##?|~|\$\$?|@@?){_NAME}(?P=m)|&{_NAME};|(?<!\w)__[A-Za-z](?:\w*[A-Za-z])?__(?!\w)|\([^()\n]+\))"
 )
 #: Marks of templates, which hold a name or an expression.
 _TEMPLATE = ("{{", "{%", "<%", "<<", "[[", "<!--")
@@ -63,14 +63,20 @@ _TEMPLATE = ("{{", "{%", "<%", "<<", "[[", "<!--")
 _MARKUP = set("html head title body h1 h2 h3 h4 h5 h6 hr p br div span b i u ul ol li table tr td th thead tbody a pre code em strong small sup sub img".split())
 _ENTITIES = set("amp lt gt quot apos nbsp eacute egrave agrave ccedil ecirc ocirc icirc ucirc acirc ugrave euml iuml ouml uuml auml szlig ntilde aacute iacute oacute uacute laquo raquo rsquo lsquo ldquo rdquo hellip ndash mdash euro copy reg trade deg times middot bull iexcl iquest sect para oelig aelig Eacute Egrave Agrave Ccedil Ouml Uuml Auml Ecirc Ocirc".split())
 _BLANK = r"_{4,}|(?<!\w)[Xx]{3,}(?!\w)|(?<!\w)n/n/n(?!\w)|(?<![.\w])\.{8,}(?!\w)|(?<!\w)\?{3,}(?!\w)"
-_TOKEN = re.compile(rf"(?P<blank>{_BLANK})|(?P<dotted>\w+(?:[.$]\w+)+)|(?P<word>\w+)|[:()|\"]")
+_DOTTED = r"\w++(?:[.$]\w++)+"
+_TOKEN = re.compile(rf"(?P<blank>{_BLANK})|(?P<dotted>{_DOTTED})|(?P<word>\w++)|[:()|\"]")
 _CODE = re.compile(r"[A-Z]{2,}_?\d+")
 #: With underscores, so that parts of a code such as TBD_137 are no words.
 _TERM = re.compile(r"\w+")
 _BREAKS = re.compile(r"\n+|(?<=[.!?…])\s+")
 _LOWER = re.compile(r"(?<![^\s(\"'«])[a-z]{3,}(?![^\s.,;:!?)\"'»])")
-#: Characters without which a passage has no span, blank or dotted name.
-_MARKED = re.compile(r"[{}$%#~@<&?\[(]|__|\.{8}|[Xx]{3}|n/n/n|\bat [\w$]|\w\.\w")
+#: What a passage must have to hold a mark that is no word; words in brackets are found by themselves.
+_MARKED = re.compile(r"[{}$%#~@<&]|\[\[|\[[a-z]|__|\.{8}|[Xx]{3}|n/n/n|\?{3}|\bat [\w$]+[.(]|File \"")
+_HAS_SPAN = re.compile(r"[{$\[<%#~@&(]|__")
+_STATUS = re.compile(r"(?<!\d)[45]\d\d(?!\d)")
+_DIGIT = re.compile(r"\d")
+#: Marks that aren't words, for their document frequencies.
+_MASKS = re.compile(rf"(?<!\w)(?:{_BLANK}|[45]\d\d(?!\w)|[A-Z]{{2,}}_?\d+(?!\w)|{_DOTTED})")
 
 
 def folded(text: str) -> str:
@@ -129,7 +135,7 @@ def _span_tokens(span: str, closed: bool) -> list[str]:
 
 def tokens(passage: str, text: str = "") -> tuple[list[str], list[list[str]]]:
     """(the passage's words, the words of each span in it)."""
-    if not _MARKED.search(passage):
+    if not _HAS_SPAN.search(passage):
         return _plain_tokens(passage), []
     out, spans, at = [], [], 0
     for m in _SPAN.finditer(passage):
@@ -248,6 +254,20 @@ class Index:
         return out
 
 
+def masks_of(text: str) -> set[str]:
+    """The marks that stand for something else than a word, of a whole text."""
+    out = {x for x in ":()|\"" if x in text}
+    if _DIGIT.search(text):
+        out.add("#")
+    for x in _MASKS.findall(text):
+        out.add("4xx" if len(x) == 3 and x[0] in "45" else "@" if _CODE.fullmatch(x) else "id" if x[0].isalpha() and "." in x else "____" if not x[0].isalnum() or x.lower().startswith(("xxx", "n/n")) else "#")
+    if _MARKED.search(text):
+        for m in _SPAN.finditer(text):
+            if m.group()[0] != "(":
+                out.update(_span_tokens(m.group(), False))
+    return out
+
+
 VOCABULARY = frozenset(t for texts in EXEMPLARS.values() for x in texts for t in exemplar_tokens(x))
 
 
@@ -258,13 +278,14 @@ def judge(text: str, index: Index, pairs: Pairs) -> tuple[str, float] | None:
     passages = _BREAKS.split(plain)
     low = _BREAKS.split(folded(plain))
     words = [_TERM.findall(x) for x in low]
+    marked, status, posted = bool(_MARKED.search(plain)), bool(_STATUS.search(plain)), index.postings.keys()
     seen: dict[int, tuple[list[str], list, set[str]]] = {}
 
     def look(k: int) -> tuple[list[str], list, set[str]]:
         """Words, matches, and labels that count of passage k by itself."""
         if k not in seen:
             own, matches, labels = words[k], [], set()
-            if _MARKED.search(passages[k]) or not index.postings.keys().isdisjoint(own) or any(map(str.isdigit, own)):
+            if not posted.isdisjoint(own) or marked and _MARKED.search(passages[k]) or status and "4xx" in posted and _STATUS.search(passages[k]):
                 own, spans = tokens(passages[k], text)
                 matches = index.matches(own)
                 labels = {label for label, _, _, covers in matches if label in ANYWHERE and covers}
@@ -328,19 +349,8 @@ def corpus_statistics(documents: DataFrame, text_col: str) -> tuple[dict[str, in
         for batch in batches:
             for text in batch["text"]:
                 plain = folded(text)
-                found = VOCABULARY.intersection(_TERM.findall(plain))
                 letters += letter_pairs(plain)
-                if _MARKED.search(text):
-                    masks = set()
-                    for m in _SPAN.finditer(text):
-                        masks.update(_span_tokens(m.group(), False))
-                    masks.update(_plain_tokens(x)[0] for x in re.findall(_BLANK + r"|\b[45]\d\d\b|\w+(?:[.$]\w+)+", text))
-                    found = found.union(VOCABULARY.intersection(masks))
-                seen.update(found)
-                if ":" in text:
-                    seen[":"] += 1
-                if any(map(str.isdigit, plain)):
-                    seen["#"] += 1
+                seen.update(VOCABULARY.intersection(_TERM.findall(plain)) | VOCABULARY.intersection(masks_of(text)))
             n += len(batch)
         rows = [("\0n", n), *seen.items(), *((f"\0{i}", int(c)) for i, c in enumerate(letters) if c)]
         yield pd.DataFrame(rows, columns=["term", "n"])
