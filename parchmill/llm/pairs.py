@@ -13,7 +13,6 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -24,7 +23,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .conversations import answer_pairs, latest_messages
 from .encoding import language_samples
-from .neardup import _constants, fingerprint, probe_keys
+from .neardup import _constants, _mix, probe_keys
 from .pair_exemplars import COURTESY, REFUSALS
 from .words import WORD, folded_words, has_word
 
@@ -35,6 +34,8 @@ SIMILARITY = 0.5
 RUN_CHARS = 4
 #: Fingerprint of a clause: a pair at the least likeness is a candidate with probability 0.989.
 SEGMENTS, SEGMENT_SYMBOLS = 12, 4
+#: Clauses that a worker remembers.
+KNOWN_CLAUSES = 200_000
 #: Templates that are sent along with a join; more of them are joined by shuffle.
 BROADCAST_TEMPLATES = 200_000
 #: Different prompts that make a clause a template at least, the share of all prompts that they must be, and the share of its answers
@@ -52,6 +53,7 @@ LANGUAGE_MARGIN = 4.0
 
 _CLAUSE = re.compile(r"[.!?;:,…]+(?=\s|$)|\n+|\s[–—-]\s|[«»\"“”]")
 _VALUE = re.compile(r"(?P<code>\b[A-Z]{2,5}_?\d+\b|\b\d+(?:[.,]\d+)*\b)|(?<!^)(?<![.!?] )\b[^\W\d_a-zà-ÿ][^\W\d_]+")
+_MARKS = re.compile(r"(?:[@#] ?)+")
 _GREETING = re.compile(r"^\s*(?:bonjour|hello|hi|guten tag|hallo|hola|buenos días)\s*,\s*", re.IGNORECASE)
 _ITEM = re.compile(r"^\s*(?:[-*•]|\d+[.)])\s+(\S.*)$")
 _PATH = re.compile(r"(?:^|\s)(?:[A-Za-z]:\\|/)\S*\.\w{1,5}$")
@@ -180,10 +182,18 @@ class LanguageModel:
         return own != other and q[own] - q[other] >= LANGUAGE_MARGIN and a[other] - a[own] >= LANGUAGE_MARGIN
 
 
-def clause_runs(clause: str) -> np.ndarray:
-    """Distinct hashes of a clause's runs of characters; names and codes are one mark."""
-    t = f" {re.sub(r'(?:[@#] ?)+', '@ ', clause).strip()} "
-    return np.unique(np.array([xxhash.xxh3_64_intdigest(t[i : i + RUN_CHARS]) for i in range(max(len(t) - RUN_CHARS + 1, 1))], dtype=np.uint64))
+def clause_runs(clause: str) -> list[int]:
+    """Distinct hashes of a clause's runs of characters, in order; names and codes are one mark."""
+    t = f" {_MARKS.sub('@ ', clause).strip()} "
+    return sorted({xxhash.xxh3_64_intdigest(t[i : i + RUN_CHARS]) for i in range(max(len(t) - RUN_CHARS + 1, 1))})
+
+
+def fingerprints_of(runs: list[list[int]]) -> np.ndarray:
+    """A fingerprint for each set of runs, all sets at once."""
+    a, b = _constants(SEGMENTS * SEGMENT_SYMBOLS)
+    flat = np.fromiter((h for own in runs for h in own), dtype=np.uint64, count=sum(map(len, runs)))
+    first = np.cumsum([0, *map(len, runs[:-1])])
+    return (np.minimum.reduceat(_mix(flat[:, None] * a + b), first, axis=0) >> np.uint64(40)).astype(np.uint16)
 
 
 class Refusals:
@@ -195,15 +205,15 @@ class Refusals:
         for c in sorted(self.courtesy, key=lambda c: (-len(c), c)):
             self.openings[c.split(" ", 1)[0]].append(c + " ")
         self.runs = [clause_runs(c) for c in sorted({self.stripped(c) for c in _labelled(texts)} - self.courtesy) if c.count(" ") + 1 >= CLAUSE_WORDS]
-        self.constants = _constants(SEGMENTS * SEGMENT_SYMBOLS)
         self.table: dict[int, list[int]] = defaultdict(list)
-        for k, runs in enumerate(self.runs):
-            for key in self._keys(runs):
+        for k, keys in enumerate(self._keys(self.runs)):
+            for key in keys:
                 self.table[key].append(k)
-        self.declines = lru_cache(100_000)(self._declines)
+        self.known: dict[str, bool] = {}
 
-    def _keys(self, runs: np.ndarray) -> list[int]:
-        return probe_keys(fingerprint(runs, *self.constants)[None, :], SEGMENTS, SEGMENT_SYMBOLS)[0].tolist()
+    @staticmethod
+    def _keys(runs: list[list[int]]) -> list[list[int]]:
+        return probe_keys(fingerprints_of(runs), SEGMENTS, SEGMENT_SYMBOLS).tolist() if runs else []
 
     def stripped(self, clause: str) -> str:
         """The clause without a courtesy that it begins with, where enough is left."""
@@ -212,14 +222,24 @@ class Refusals:
                 return clause[len(opening) :]
         return clause
 
-    def _declines(self, clause: str) -> bool:
-        """The clause is like a labelled refusal: candidates by shared entries, verified by complete similarity."""
-        runs = clause_runs(clause)
-        for k in {k for key in self._keys(runs) if key in self.table for k in self.table[key]}:
-            both = len(np.intersect1d(runs, self.runs[k], assume_unique=True))
-            if both >= SIMILARITY * (len(runs) + len(self.runs[k]) - both):
-                return True
-        return False
+    def look_up(self, clauses_: set[str]) -> dict[str, bool]:
+        """Whether each clause is like a labelled refusal: candidates by shared entries, verified by complete similarity."""
+        if len(self.known) > KNOWN_CLAUSES:
+            self.known.clear()
+        new = sorted(clauses_ - self.known.keys())
+        for i in range(0, len(new), 2_000):  # bounds the matrix
+            part = new[i : i + 2_000]
+            runs = [clause_runs(c) for c in part]
+            for c, own, keys in zip(part, runs, self._keys(runs), strict=True):
+                self.known[c] = any(self._alike(own, k) for k in {k for key in keys if key in self.table for k in self.table[key]})
+        return {c: self.known[c] for c in clauses_}
+
+    def _alike(self, runs: list[int], k: int) -> bool:
+        both = len(set(runs) & set(self.runs[k]))
+        return both >= SIMILARITY * (len(runs) + len(self.runs[k]) - both)
+
+    def declines(self, clause: str) -> bool:
+        return self.look_up({clause})[clause]
 
 
 def answer_clauses(pairs: DataFrame, refusals: tuple[str, ...] = REFUSALS, courtesy: tuple[str, ...] = COURTESY) -> DataFrame:
@@ -241,8 +261,10 @@ def answer_clauses(pairs: DataFrame, refusals: tuple[str, ...] = REFUSALS, court
                     n = c.count(" ") + 1
                     if n >= CLAUSE_WORDS and c not in known.courtesy:
                         own = [v for v in values if f" {v} " not in given]
-                        rows.append((key, prompt, clause_id(" ".join([c, *own])), n, known.declines(c)))
-            yield pd.DataFrame(rows, columns=["message_id", "prompt", "clause_id", "words", "declines"])
+                        rows.append((key, prompt, clause_id(" ".join([c, *own])), n, c))
+            out = pd.DataFrame(rows, columns=["message_id", "prompt", "clause_id", "words", "declines"])
+            out["declines"] = out["declines"].map(known.look_up(set(out["declines"]))).astype(bool)
+            yield out
 
     return pairs.select("message_id", "question", "answer").mapInPandas(run, "message_id string, prompt long, clause_id long, words int, declines boolean")
 
