@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,3 +47,50 @@ def with_scores(df: DataFrame, raw: str, name: str = "scores") -> DataFrame:
     own = {c: F.col(f"_f.{c}") for c in CRITERIA}
     result = F.struct(*(own[c].alias(c) for c in CRITERIA), weighted(own).alias("final_score"), F.coalesce(F.col("_s.final_score"), F.lit(0.0)).alias("llm_final_score"))
     return out.withColumn(name, F.when(F.col("_n") >= LEAST_CRITERIA, result)).drop("_part", "_whole", "_complete", "_s", "_n", "_f")
+
+
+#: Characters of the original and of the chunk that a judge is shown, and how often it is asked for an answer that can be read.
+SHOWN_ORIGINAL, SHOWN_CHUNK, ATTEMPTS = 1_200, 1_000, 3
+
+
+def final_score(answer: str) -> float | None:
+    """final_score of a judge's raw answer by the rules of with_scores, on one text; None where too little can be read."""
+    start = answer.find("{")
+    found = {c: re.search(rf'"{c}"\s*:\s*([0-9]*\.?[0-9]+)', answer[start:]) for c in CRITERIA} if start >= 0 else {}
+    values = {c: min(max(float(m.group(1)), 0.0), 1.0) for c, m in found.items() if m}
+    if len(values) < LEAST_CRITERIA:
+        return None
+    values.setdefault("fidelity", round(sum(values.values()) / len(values), 3))
+    return round(sum(values.get(c, 0.0) * w for c, w in WEIGHTS.items()), 4)
+
+
+def judged(ask: Callable[[str, str], str], attempts: int = ATTEMPTS) -> Callable[[Column, Column], Column]:
+    """A scorer for rechunk out of a judge, ask(original, chunk) -> raw answer.
+
+    The judge is shown the beginnings only, blank chunks aren't scored, an answer that can't be read or an error is asked for again, and where all
+    attempts fail the score is null: none is invented. A pair that comes again in a batch is asked once; pairing.memoised keeps scores over runs.
+    """
+
+    @F.pandas_udf("double")
+    def run(chunks: pd.Series, originals: pd.Series) -> pd.Series:
+        known: dict[tuple[str, str], float | None] = {}
+
+        def one(chunk: str | None, original: str | None) -> float | None:
+            if not chunk or not chunk.strip():
+                return None
+            shown = (original or "")[:SHOWN_ORIGINAL].strip(), chunk[:SHOWN_CHUNK].strip()
+            if (shown[0], chunk) not in known:
+                score = None
+                for _ in range(attempts):
+                    try:
+                        score = final_score(ask(*shown))
+                    except Exception:
+                        continue
+                    if score is not None:
+                        break
+                known[shown[0], chunk] = score
+            return known[shown[0], chunk]
+
+        return pd.Series([one(c, o) for c, o in zip(chunks, originals, strict=True)], dtype="float64")
+
+    return lambda chunk, original: F.nanvl(run(chunk, original), F.lit(None).cast("double"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import media
 from ..functions import text as tx
 from .chunking import rechunk
+from .pairing import matched_media
 from .profile import global_rank
 
 #: Texts of fewer tokens are one chunk as they are.
@@ -49,6 +50,24 @@ def chunk_entries(files: DataFrame, id_col: str, text_col: str, scorer: Callable
     )
 
 
+def media_details(entries: DataFrame, companions: DataFrame) -> DataFrame:
+    """(chunk_id, kind, ordinal, marker, position, item): images and table rows of chunk entries, with what a companion file knows of the same mark.
+
+    entries(chunk_id, id, text, chunk_start_position); companions(id, kind, ordinal, marker, item) as of sources.companion_media. An image without a record
+    has a null item. A chunk's table rows get the record of the first table whose mark stands in the chunk.
+    """
+    images = entries.select("chunk_id", "id", F.explode(media.positions(F.col("text"), r"\[(?:IMAGE|IMG)[^\]]*\]", F.col("chunk_start_position"))).alias("position"))
+    known = companions.select("id", "kind", "ordinal", "marker", "item")
+    marks = images.select("chunk_id", "id", F.col("position.marker").alias("marker"), F.col("position.ordinal").alias("ordinal"), "position")
+    image_items = known.filter("kind = 'image'").groupBy("id", "marker").agg(F.min_by("item", "ordinal").alias("item"))
+    a = matched_media(marks, image_items, ["id", "marker"]).select("chunk_id", F.lit("image").alias("kind"), "ordinal", "marker", "position", "item")
+    rows = entries.select("chunk_id", "id", "text", F.posexplode(media.features(F.col("text"))["table_summary"]).alias("n", "row"))
+    tables = known.filter("kind = 'table'").select("id", F.col("ordinal").alias("k"), F.col("marker").alias("mark"), "item")
+    held = entries.select("chunk_id", "id", "text").join(tables, "id").filter(F.col("text").contains(F.col("mark"))).groupBy("chunk_id").agg(F.min_by(F.struct("mark", "item"), "k").alias("m"))
+    b = rows.join(held, "chunk_id", "left").select("chunk_id", F.lit("table").alias("kind"), (F.col("n") + 1).alias("ordinal"), F.coalesce("m.mark", "row").alias("marker"), "m.item")
+    return a.unionByName(b, allowMissingColumns=True)
+
+
 def json_entries(files: DataFrame, id_col: str, json_col: str) -> DataFrame:
     """A row for each JSON file without text: the file as it is, as structured_json."""
     rows = files.filter(F.col(json_col).isNotNull())

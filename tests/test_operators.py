@@ -282,3 +282,28 @@ def test_small_operators(spark):
     assert {r.k: r.text_path for r in pairing.paired_with_fallback(metas, one, two, ["k"], "p").collect()} == {"a": "1", "b": "2"}
     pages = spark.createDataFrame([(1, "<table><tr><th>a<th>b</tr><tr><td>1<td>2</tr></table>"), (2, "")], "id int, h string")
     assert tables.table_statistics(tables.table_rows(pages, "id", "h"), pages).first()[:] == (1, 1, 2, 2)
+
+
+def test_media_of_chunks_and_companions(spark):
+    entries = spark.createDataFrame([(1, "f", "See [IMAGE: a.png] and [IMAGE: b.png]\n| x | y |\n[TABLE_1]", 100), (2, "g", "| a | b |", 0), (3, "g", None, 0)], "chunk_id long, id string, text string, chunk_start_position int")
+    found = spark.createDataFrame([("f", "image", 1, "[IMAGE: a.png]", "A"), ("f", "image", 2, "[IMAGE: a.png]", "again"), ("f", "table", 1, "[TABLE_1]", "T"), ("g", "table", 1, "[TABLE_9]", "no")], "id string, kind string, ordinal int, marker string, item string")
+    got = sorted((r.chunk_id, r.kind, r.ordinal, r.marker, r["item"], r.position.char_absolute if r.position else None) for r in assembly.media_details(entries, found).collect())
+    assert got == [(1, "image", 1, "[IMAGE: a.png]", "A", 104), (1, "image", 2, "[IMAGE: b.png]", None, 123), (1, "table", 1, "[TABLE_1]", "T", None), (2, "table", 1, "| a | b |", None, None)]
+
+
+def test_a_judge_is_asked_again_and_never_made_up(spark):
+    from parchmill.functions.scoring import final_score, judged
+
+    def ask(original, chunk, calls={}):  # noqa: B006
+        assert len(original) <= 1200 and len(chunk) <= 1000
+        calls[chunk] = calls.get(chunk, 0) + 1
+        if "error" in chunk:
+            raise ValueError
+        if "twice" in chunk and calls[chunk] < 3:
+            return "no scores"
+        return '{"completeness": 1, "coherence": 1, "relevance": 1, "boundary": 1, "fid' if "bad" not in chunk else "?"
+
+    rows = [(1, "good one"), (2, "twice"), (3, "bad"), (4, "  "), (5, None), (6, "error"), (7, "x" * 5000)]
+    df = spark.createDataFrame(rows, "id int, c string").coalesce(1)
+    got = {r.id: r.s for r in df.select("id", judged(ask)(F.col("c"), F.lit("o" * 3000)).alias("s")).collect()}
+    assert got == {1: 1.0, 2: 1.0, 3: None, 4: None, 5: None, 6: None, 7: 1.0} and final_score("none") is None
