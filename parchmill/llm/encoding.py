@@ -8,7 +8,6 @@ are trained on a bounded sample of pages labelled with their language.
 
 from __future__ import annotations
 
-import codecs
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -29,6 +28,8 @@ DICTIONARY_BYTES = 48_000
 LEVEL = 16
 #: Bytes that a step of a chain costs, once a text.
 STEP_COST = 1
+#: Bytes that a second chain between single-byte encodings costs a text besides: a sequence of UTF-8 hardly comes about by chance, a single letter does.
+SWITCH_COST = 3
 
 #: Encodings that bytes were read as, and that single-byte text should have been read as.
 READ_AS = ("cp1252", "latin_1", "cp437", "cp850", "mac_roman", "cp1250", "cp1251", "iso8859_15", "cp1254", "cp1253", "iso8859_2", "cp852", "cp866", "koi8_r", "iso8859_7", "iso8859_5")
@@ -155,16 +156,12 @@ def candidates(sentence: str) -> list[tuple[str, tuple, bool]]:
     """
     odd = oddities(sentence)
     strangers = {c for c, _ in odd}
-    here = sum(n for _, n in odd)
     out: dict[str, tuple[tuple, bool]] = {}
 
     def add(text: str, chain: tuple) -> bool:
         if text == sentence or text in out:
             return False
-        then = oddities(text)
-        if sum(n for _, n in then) >= here:
-            return False
-        new = [(c, n) for c, n in then if c not in strangers]
+        new = [(c, n) for c, n in oddities(text) if c not in strangers]
         if chain[-1][1] == "utf_8":
             # Two or more sequences that give letters or symbols of whatever script don't come about by chance.
             sure = all(n <= 3 and (c in _HOME or "\u00c0" <= c <= "\u017f") for c, n in new) or len(new) > 1 and all(unicodedata.category(c)[0] in "LS" or c in _HOME for c, _ in new)
@@ -235,7 +232,13 @@ def restore(text: str, languages: Languages) -> tuple[str, list[tuple]] | None:
                     gains[chain] = gains.get(chain, 0) + gain
         # A chain's cost is paid once: those that pay for it over the whole text are open to each sentence. One sequence of two characters saves
         # a byte, so that a chain of UTF-8 sequences need only come out even.
-        open_ = {chain for chain, gain in gains.items() if gain > STEP_COST * len(chain) - (chain[-1][1] == "utf_8")}
+        pays = [chain for chain, gain in gains.items() if gain > STEP_COST * len(chain) - (chain[-1][1] == "utf_8")]
+        # The one that saves most comes first; another must pay for itself and for the switch by what it saves beyond those before it.
+        open_: set[tuple] = set()
+        for chain in sorted(pays, key=lambda c: (-gains[c], len(c), c)):
+            more = sum(max(0, _best(options, {chain}) - _best(options, open_)) for options in scored)
+            if not open_ or more > STEP_COST * len(chain) + (-1 if chain[-1][1] == "utf_8" else SWITCH_COST):
+                open_.add(chain)
         out, used = [], {}
         for part, options in zip(parts, scored, strict=True):
             best = max(((gain, -len(chain), gains[chain], other, chain) for gain, other, chain in options if gain > 0 and chain in open_), default=None)
@@ -249,6 +252,11 @@ def restore(text: str, languages: Languages) -> tuple[str, list[tuple]] | None:
     return (text, [lost]) if lost else None
 
 
+def _best(options: list[tuple], chains: set[tuple]) -> int:
+    """What the best of the chains saves on a sentence."""
+    return max((gain for gain, _, chain in options if chain in chains), default=0)
+
+
 def _follow(part: str, chains: set[tuple]) -> tuple | None:
     """A sentence that speaks for no chain by itself goes the way of the text's, if that leaves less out of place."""
     here, best = sum(n for _, n in oddities(part)), None
@@ -260,27 +268,79 @@ def _follow(part: str, chains: set[tuple]) -> tuple | None:
     return best
 
 
-def _size_bytes(error: UnicodeError) -> tuple[bytes, int]:
-    return error.object[error.start : error.end].encode("utf-8", "replace"), error.end
+#: ESC and a number name another block of 128 characters and switch to it; SO switches to it again, SI back to Windows-1252.
+_ESC, _SO, _SI = 0x1B, 0x0E, 0x0F
+_ASCII_RUN = re.compile(r"[\x00-\x0d\x10-\x1a\x1c-\x7f]+")
+_CP1252 = {chr(c): chr(c).encode("cp1252")[0] for c in range(0x80, 0x2123) if chr(c).encode("cp1252", "ignore")}
 
 
-codecs.register_error("parchmill.size", _size_bytes)
+def plain_bytes(text: str) -> bytes:
+    """A byte for each character, so that a decoding doesn't win by the length of its encoding.
 
-
-def _plain_bytes(text: str) -> bytes:
-    """A byte for each character at home, so that a decoding doesn't win by the length of its encoding. Not reversible."""
-    return text.encode("cp1252", "parchmill.size")
+    Bytes from 0x80 are Windows-1252 or, after a switch, of another block. The text can be had back, which makes the compressed length a
+    description length.
+    """
+    if "\x1b" not in text and "\x0e" not in text and "\x0f" not in text:
+        try:
+            return text.encode("cp1252")
+        except UnicodeEncodeError:
+            pass
+    out, other, away, at = bytearray(), 0, False, 0
+    while at < len(text):
+        run = _ASCII_RUN.match(text, at)
+        if run:
+            out += run.group().encode("ascii")
+            at = run.end()
+            continue
+        c = text[at]
+        at += 1
+        if c < "\x20":
+            out += bytes([_ESC, 0xFF, ord(c)])
+        elif c in _CP1252:
+            if away:
+                out.append(_SI)
+            away = False
+            out.append(_CP1252[c])
+        else:
+            block = ord(c) >> 7
+            if block != other:
+                out += bytes([_ESC, block]) if block < 0xFE else bytes([_ESC, 0xFE]) + block.to_bytes(2, "big")
+            elif not away:
+                out.append(_SO)
+            other, away = block, True
+            out.append(0x80 | ord(c) & 0x7F)
+    return bytes(out)
+
+
+def text_of(data: bytes) -> str:
+    """The text of plain_bytes."""
+    latin, out, other, away, at = {b: c for c, b in _CP1252.items()}, [], 0, False, 0
+    while at < len(data):
+        b = data[at]
+        at += 1
+        if b == _ESC and data[at] == 0xFF:
+            out.append(chr(data[at + 1]))
+            at += 2
+        elif b == _ESC:
+            wide = data[at] == 0xFE
+            other, away = int.from_bytes(data[at + 1 : at + 3], "big") if wide else data[at], True
+            at += 3 if wide else 1
+        elif b in (_SO, _SI):
+            away = b == _SO
+        else:
+            out.append(chr(b) if b < 0x80 else chr(other << 7 | b & 0x7F) if away else latin[b])
+    return "".join(out)
 
 
 def _size(z: zstandard.ZstdCompressor, text: str) -> int:
-    return len(z.compress(_plain_bytes(text)))
+    return len(z.compress(plain_bytes(text)))
 
 
 def train_dictionaries(samples: dict[str, list[str]]) -> dict[str, bytes]:
     """A dictionary for each language; of very few samples zstandard makes none, there they serve as they are."""
     out = {}
     for language, texts in sorted(samples.items()):
-        data = [_plain_bytes(t) for t in texts if t]
+        data = [plain_bytes(t) for t in texts if t]
         try:
             out[language] = zstandard.train_dictionary(DICTIONARY_BYTES, data, level=LEVEL).as_bytes()
         except zstandard.ZstdError:

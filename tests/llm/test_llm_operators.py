@@ -205,6 +205,22 @@ def test_wrong_encoding_keeps_columns(spark):
     assert encoding.find_wrong_encoding(df.limit(0), {}).count() == 0
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=60))
+def test_plain_bytes_can_be_read_back(text):
+    text = text.encode("utf-8", "ignore").decode()
+    assert encoding.text_of(encoding.plain_bytes(text)) == text
+
+
+def test_other_scripts_are_restored():
+    languages = encoding.Languages(encoding.train_dictionaries(samples()))
+    for text in ("Журнал проверки склада закрыт", "日本語の説明書を開いて確認してください", "Ο λογαριασμός έκλεισε", "Proszę sprawdzić żółtą książkę źródłową"):
+        wrong = "".join(chr(b) if b in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else bytes([b]).decode("cp1252") for b in text.encode())
+        got = encoding.restore(wrong, languages)
+        assert got and got[0] == text, (text, got)
+        assert encoding.restore(text, languages) is None, text
+
+
 def test_language_samples_are_bounded(spark):
     df = spark.createDataFrame([(i, "x" * 100, ("fr-FR", " EN", None, "")[i % 4]) for i in range(80)], "i long, t string, l string")
     got = encoding.language_samples(df, "i", "t", "l", pages_each=5)
