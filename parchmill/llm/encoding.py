@@ -13,6 +13,7 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
@@ -382,10 +383,10 @@ def find_wrong_encoding(records: DataFrame, dictionaries: dict[str, bytes], text
         languages = Languages(dictionaries)
         for batch in batches:
             found = [restore(t, languages) for t in batch[text_col]]
-            keep = [f is not None for f in found]
-            out = batch[keep].copy()
-            out["restored"] = [f[0] for f in found if f]
-            out["chain"] = [" + ".join("|".join(" < ".join(step) if isinstance(step, tuple) else step for step in chain) for chain in f[1]) for f in found if f]
+            keep = np.array([f is not None for f in found], dtype=bool)
+            out = pd.DataFrame({n: pd.Series(batch[n].to_numpy(dtype=object)[keep], dtype=object) for n in names})
+            out["restored"] = pd.Series([f[0] for f in found if f], dtype=object)
+            out["chain"] = pd.Series([" + ".join("|".join(" < ".join(step) if isinstance(step, tuple) else step for step in chain) for chain in f[1]) for f in found if f], dtype=object)
             yield out[[*names, "restored", "chain"]]
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in records.schema) + ", restored string, chain string"

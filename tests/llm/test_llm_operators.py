@@ -203,6 +203,8 @@ def test_wrong_encoding_keeps_columns(spark):
     got = encoding.find_wrong_encoding(df, encoding.train_dictionaries(samples())).orderBy("id").collect()
     assert [(r.id, r.languages) for r in got] == [(1, "a"), (1, "a"), (5, None)] and got[0].restored == "prêt dès l'échéance" and got[2].restored.startswith("l'été l'été")
     assert encoding.find_wrong_encoding(df.limit(0), {}).count() == 0
+    looked_at = spark.createDataFrame([(1, "Форма", "a")], "id int, text string, languages string")  # suspect, but right
+    assert encoding.find_wrong_encoding(looked_at, encoding.train_dictionaries(samples())).collect() == []
 
 
 @settings(max_examples=300, deadline=None)
