@@ -133,7 +133,7 @@ def indexed_top_k(vectors: DataFrame, queries: DataFrame, k: int, centres: np.nd
 
     def match(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({"query_id": [], "match_id": [], "similarity": []})
+            return pd.DataFrame({"query_id": [], "match_id": [], "similarity": []}, dtype=object)
         out, stored_, own = [], _unit(a["v"]), a["id"].to_numpy()
         asked, ids = _unit(b["v"]), b["id"].to_numpy()
         for i in range(0, len(b), 256):
@@ -186,7 +186,7 @@ def all_near_pairs(vectors: DataFrame, threshold: float, id_col: str = "vec_id",
                 hit[at - k, at] &= copies[at]
             q, m = np.nonzero(hit)
             out.append(pd.DataFrame({"class_a": a_ids[k + q], "class_b": b_ids[m], "similarity": sims[q, m]}))
-        return pd.concat(out) if out else pd.DataFrame({"class_a": [], "class_b": [], "similarity": []})
+        return pd.concat(out) if out else pd.DataFrame({"class_a": [], "class_b": [], "similarity": []}, dtype=object)
 
     found = meet.groupBy("i", "j").applyInPandas(match, f"class_a {kind}, class_b {kind}, similarity double")
     members = rows.join(classes.select("v", "class"), "v").select("class", "id")
