@@ -30,13 +30,12 @@ def bm25(documents: DataFrame, id_col: str, text_col: str, queries: DataFrame, q
     vocabulary = asked.select("term").distinct()
     few = vocabulary.count() <= BROADCAST_TERMS
     small = F.broadcast if few else (lambda x: x)
-    # Words that nobody asks for leave at once; a row without a word keeps the document's size.
-    sized = words_of(documents, id_col, text_col).select("id", F.size("w").alias("size"), "w")
-    wanted = small(vocabulary.withColumn("hit", F.lit(True)))
-    held = sized.select("id", "size", F.explode("w").alias("term")).join(wanted, "term").groupBy("id", "size", "term").agg(F.count(F.lit(1)).alias("tf"))
-    counted = cut_lineage(held.unionByName(sized.select("id", "size", F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("tf"))))
-    size = counted.filter("term is null").agg(F.count(F.lit(1)).alias("N"), F.avg("size").alias("mean"))
-    held = counted.filter("term is not null")
+    # Words that nobody asks for leave at once; an empty word stands for the document itself and keeps its size.
+    sized = words_of(documents, id_col, text_col).select("id", F.size("w").alias("size"), F.explode(F.concat(F.array(F.lit("")), "w")).alias("term"))
+    wanted = vocabulary.union(documents.sparkSession.createDataFrame([("",)], "term string"))
+    counted = cut_lineage(sized.join(small(wanted), "term").groupBy("id", "size", "term").agg(F.count(F.lit(1)).alias("tf")))
+    size = counted.filter("term = ''").agg(F.count(F.lit(1)).alias("N"), F.avg("size").alias("mean"))
+    held = counted.filter("term <> ''")
     df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weights = asked.join(small(df), "term").crossJoin(F.broadcast(size)).select("query_id", "term", F.log(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "mean")  # size: one row
     scored = held.join(small(weights), "term").select("query_id", F.col("id").alias("doc_id"), (F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))).alias("s"))
